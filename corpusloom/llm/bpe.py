@@ -37,7 +37,7 @@ from corpusloom.llm.common import pick
 
 NEVER = 1 << 60
 #: Looked-up arcs and encoded words that a worker keeps; beyond it the older half goes.
-KEEP_ARCS, KEEP_WORDS = 1_000_000, 120_000
+KEEP_ARCS, KEEP_WORDS = 1_000_000, 250_000
 #: The tokenizer file's split in Python's engine; it is right for texts without the characters of ODD.  For other
 #: texts the library splits, as the character classes of its Unicode version count.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -59,9 +59,10 @@ class MergeAutomaton:
         for label, t in vocab.items():
             self.labels[t] = label
         self.suffix = suffix
-        self.inner = {x: t for x, t in vocab.items() if not x.endswith(suffix)}
+        inner = {x: t for x, t in vocab.items() if not x.endswith(suffix)}
+        #: Every beginning of an inner label, with the label's token or -1.
+        self.inner = {x[:k]: -1 for x in inner for k in range(1, len(x))} | inner
         self.final = {x[: -len(suffix)]: t for x, t in vocab.items() if x.endswith(suffix) and x != suffix}
-        self.begins = {x[:k] for x in self.inner for k in range(1, len(x) + 1)}
         self.longest_final = max(map(len, self.final), default=0)
         self.gadgets: dict[tuple[int, int], int] = {}
         self.built: dict[int, tuple[int, int]] = {}  # merged token: its step, and the arc it was built from
@@ -106,7 +107,7 @@ class MergeAutomaton:
         n = len(symbols)
         if not n:
             return []
-        inner, begins, arc = self.inner, self.begins, self.arc
+        inner, final, arc, longest = self.inner.get, self.final.get, self.arc, self.longest_final
         last: list[int] = [-1] * (n + 1)
         came = [0] * (n + 1)
         for i in range(n):
@@ -114,14 +115,14 @@ class MergeAutomaton:
             if i and p < 0:
                 continue
             for e in range(i + 1, n):
-                piece = symbols[i:e]
-                if piece not in begins:
+                t = inner(symbols[i:e])
+                if t is None:
                     break
-                t = inner.get(piece)
-                if t is not None and last[e] < 0 and (not i or arc(p, t)):
+                if t >= 0 and last[e] < 0 and (not i or arc(p, t)):
                     last[e], came[e] = t, i
-            if last[n] < 0 and n - i <= self.longest_final and (t := self.final.get(symbols[i:])) is not None and (not i or arc(p, t)):
+            if n - i <= longest and (t := final(symbols[i:])) is not None and (not i or arc(p, t)):
                 last[n], came[n] = t, i
+                break
         out, i = [], n
         while i > 0:
             out.append(last[i])
