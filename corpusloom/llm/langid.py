@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import fold, pick
 from corpusloom.llm.pieces import letter_table, mixed, slices
@@ -184,7 +185,8 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 lang, score = shared.value.predict([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("score", "double"))
+    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
+    return docs.mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
