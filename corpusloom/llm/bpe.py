@@ -32,6 +32,7 @@ import pyarrow as pa
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusloom.llm.common import pick
 
@@ -208,7 +209,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
     d = pick(docs, doc_id=id_col, text=text_col)
     schema = d.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches):
         encode = load(raw.value).encode

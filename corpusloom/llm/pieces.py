@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -9,6 +10,8 @@ import numpy as np
 
 #: Characters or bytes that are worked on at once; longer texts are cut.
 SLICE = 1 << 20
+#: What separates words, as in ``common.WORD``.
+WHITE = re.compile(r"[\x20\x09-\x0D]")
 
 
 @lru_cache(maxsize=1)
@@ -17,17 +20,19 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[list[int], list[str]]]:
+def slices(texts: list[str], most: int = SLICE, whole_words: bool = False) -> Iterator[tuple[list[int], list[str]]]:
     """Index and text of pieces, in slices of about ``most`` characters.
 
-    A text longer than that is cut behind white space where there is some near, else anywhere.
+    A text longer than that is cut behind white space; where there is none near, anywhere, or
+    with ``whole_words`` behind the next.
     """
     index: list[int] = []
     out: list[str] = []
     total = 0
     for k, text in enumerate(texts):
         while len(text) > most:
-            at = max(text.rfind(" ", most // 2, most), text.rfind("\n", most // 2, most)) + 1 or most
+            space = WHITE.search(text, most // 2)
+            at = space.end() if space and (whole_words or space.end() <= most) else len(text) if whole_words else most
             yield [k], [text[:at]]
             text = text[at:]
         if total + len(text) > most and out:
@@ -45,3 +50,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_P = np.uint64(0x9E3779B97F4A7C15)
+_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2 ** 64, and of its inverse, for ``n`` places at least."""
+    size = 1 << max(10, n.bit_length())
+    if size not in _held:
+        _held.clear()
+        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
+        _held[size] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, p)])) for p in (_P, inverse))
+    return _held[size]
+
+
+def prefix_sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums whose differences, times the second array, are hashes of any span."""
+    power, inverse = powers(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[: len(codes)], out=sums[1:])
+    return sums, inverse

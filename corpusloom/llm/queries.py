@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, exact_dedup, langid, mixing, sharding, substring_dedup, toxicity
+from corpusloom.llm import bpe, exact_dedup, jaccard_join, langid, mixing, sharding, substring_dedup, toxicity
 from corpusloom.sources.tables import table
 
 
@@ -32,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_langid": op8_langid,
     "op10_sharding": op10_sharding,
 }

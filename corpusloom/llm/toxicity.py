@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold, pick
-from corpusloom.llm.pieces import letter_table, mixed, slices
+from corpusloom.llm.pieces import letter_table, mixed, prefix_sums, slices
 
 #: Characters that stand for letters.
 LOOKALIKES = {"4": "a", "@": "a", "3": "e", "€": "e", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z"}
@@ -193,29 +193,11 @@ def suspicious(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sum(sign * np.logical_or.reduceat(x, starts[:-1]) for sign, x in ((SWAP_SIGN, swap), (REPEAT_SIGN, repeat), (SPACE_SIGN, space)))
 
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _P)])), np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]))
-
-
-_HELD: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature) of every word and word beginning; texts are lower-cased."""
     low = [t + " " for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(points)
-    size = 1 << max(10, n.bit_length())
-    if size not in _HELD:
-        _HELD.clear()
-        _HELD[size] = _powers(size)
-    power, inverse = _HELD[size]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+    sums, inverse = prefix_sums(mixed(points.astype(np.uint64) + np.uint64(1)))
     edge = np.diff(np.concatenate([[False], letter_table()[points], [False]]).astype(np.int8))
     s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     ends = np.cumsum([*map(len, low)])
