@@ -1,5 +1,15 @@
 """DuckDB SQL for those queries of this package that SQL can express."""
 
+OP3 = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 OP4 = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -36,4 +46,4 @@ WITH e AS (SELECT {MIX_ENTRY} FROM documents), {MIX_CUT}
 SELECT doc_id, size, source_size, target, (size * ({MIX_COPIES}))::BIGINT AS taken, source FROM e JOIN cut USING (skey)
 """
 
-ORACLE: dict[str, str] = {"op4_exact_dedup": OP4, "op6_mixing": OP6}
+ORACLE: dict[str, str] = {"op3_topk_search": OP3, "op4_exact_dedup": OP4, "op6_mixing": OP6}
