@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, exact_dedup, jaccard_join, langid, mixing, sharding, substring_dedup, topk_search, toxicity
+from corpusloom.llm import bpe, exact_dedup, jaccard_join, langid, mixing, pii, sharding, substring_dedup, topk_search, toxicity
 from corpusloom.sources.tables import table
 
 
@@ -44,6 +44,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
@@ -57,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_langid": op8_langid,
+    "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
