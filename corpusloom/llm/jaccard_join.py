@@ -7,6 +7,7 @@ wide-spread passages stay out of prefixes.
 
 1. Documents with equal sets are one class; classes with equal prefix and size are one group.
 2. Groups are listed by prefix element.  Lists with two groups or more are what is left to do.
+   Pairs are filtered by size, position and element counts before their sets are fetched.
 3. In each list and group, every entry is verified against the smallest one.  In large groups of
    near copies this links nearly all, with as many pairs as entries.
 4. What must still be verified are pairs of different components in one list: group pairs
@@ -35,8 +36,10 @@ from corpusloom.sources.scratch import staged
 
 #: Counters of the rarity estimate, and slots of the filter on candidates' identifiers.
 COUNTERS, ID_SLOTS = 1 << 20, 1 << 20
-#: An element is frequent from this share of documents on; its list is dealt to SALTS tasks.
-FREQUENT, SALTS = 0.001, 32
+#: Counts by which pairs are filtered before their sets are fetched, and the largest count held.
+SPREAD, FULL = 256, 255
+#: An element is frequent from this share of documents on; its list has more entries than one, which needs no counting.
+FREQUENT = 0.001
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -83,7 +86,7 @@ def _batches(batches, rows: int = 512):
 
 
 def _described(d: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, digest, group, prefix, frequent) of each document; prefix is rarest first."""
+    """(doc_id, n, digest, group, prefix, frequent, spread) of each document; prefix is rarest first, spread counts elements by their first byte."""
 
     def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for part in _batches([batch]):
@@ -98,7 +101,7 @@ def _described(d: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def run(batches):
         order = rare.value
         for part in _batches(batches):
-            size, digest, group, prefix, frequent = [], [], [], [], []
+            size, digest, group, prefix, frequent, spread = [], [], [], [], [], []
             for x in shingle_sets(part.column("text").to_pylist(), n):
                 k = len(x)
                 size.append(k)
@@ -110,12 +113,13 @@ def _described(d: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 group.append(xxhash.xxh3_128_digest(head.tobytes() + k.to_bytes(8, "little")))
                 prefix.append(head.view(np.int64))
                 frequent.append(int(np.count_nonzero(seen[first] >= level)))
+                spread.append(np.minimum(np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=SPREAD), FULL).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column("doc_id"), "n": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "group": pa.array(group, pa.binary()),
-                "prefix": pa.array(prefix, pa.list_(pa.int64())), "frequent": pa.array(frequent, pa.int32()),
+                "prefix": pa.array(prefix, pa.list_(pa.int64())), "frequent": pa.array(frequent, pa.int32()), "spread": pa.array(spread, pa.binary()),
             })
 
-    schema = d.select("doc_id").schema.add("n", "long").add("digest", "binary").add("group", "binary").add("prefix", ArrayType(LongType())).add("frequent", "integer")
+    schema = d.select("doc_id").schema.add("n", "long").add("digest", "binary").add("group", "binary").add("prefix", ArrayType(LongType())).add("frequent", "integer").add("spread", "binary")
     return d.mapInArrow(run, schema)
 
 
@@ -139,8 +143,29 @@ def _sets(d: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return out.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _near(pairs: DataFrame, described: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets may reach the threshold, as counts by first byte bound the intersection."""
+
+    def run(batches):
+        for part in _batches(batches):
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, SPREAD) for c in ("x", "y"))
+            sizes = part.column("na").to_numpy() + part.column("nb").to_numpy()
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            may = ((num + den) * most >= num * sizes) | (np.minimum(x, y).max(axis=1) == FULL)
+            yield part.select(["a", "b"]).filter(pa.array(may))
+
+    left, right = (described.select(F.col("doc_id").alias(i), F.col("spread").alias(v), F.col("n").alias(c)).dropDuplicates([i]) for i, v, c in (("a", "x", "na"), ("b", "y", "nb")))
+    both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
+    return staged(both.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, pairs.select("a", "b").schema), "join-near")
+
+
+def _verified(d: DataFrame, described: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, as a written table."""
+    if pairs.isEmpty():
+        return pairs
+    pairs = _near(pairs, described, num, den)
+    ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "join-ids")
+    sets = staged(_sets(d, ids, n), "join-elements")
 
     def run(batches):
         for part in _batches(batches, 256):
@@ -156,7 +181,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
+    return staged(both.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema), "join-links")
 
 
 def _possible(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) -> Column:
@@ -187,26 +212,26 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     m = staged(small.join(classes, "digest").join(groups, "group").select("doc_id", "n", "rep", "gid", (F.col("d1") != F.col("d2")).alias("many")), "join-classes")
     heads = real.join(m.where("doc_id = gid").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "group"])
 
-    # Lists with more than one entry.  Frequent elements are salted and kept without counting.
+    # Lists with more than one entry.
     entry = heads.select(F.col("doc_id").alias("gid"), "n", F.size("prefix").alias("len"), "frequent", F.posexplode("prefix").alias("pos", "token"))
-    salt = F.when(F.col("pos") >= F.col("len") - F.col("frequent"), F.pmod(F.xxhash64("gid"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
-    entry = entry.select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), salt.alias("salt"))
-    near = Window.partitionBy("token", "salt").orderBy("gid").rowsBetween(-1, 1)
-    lists = entry.withColumn("about", F.count("*").over(near)).where("about > 1 or salt > 0").select("token", "gid", "n", "pos")
-    lists = staged(lists, "join-lists")
+    entry = entry.withColumn("place", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")))  # one column is a third less to shuffle
+    often = F.col("pos") >= F.col("len") - F.col("frequent")
+    near = Window.partitionBy("token").orderBy("gid").rowsBetween(-1, 1)
+    lists = entry.where(~often).select("token", "gid", "place").withColumn("about", F.count("*").over(near)).where("about > 1").drop("about")
+    lists = staged(lists.union(entry.where(often).select("token", "gid", "place")), "join-lists")
+    lists = lists.select("token", "gid", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos"))
 
     reps = m.select("rep", "gid", "n", "many").distinct()
     pivots = lists.groupBy("token").agg(F.min_by(F.struct("gid", "n", "pos"), "gid").alias("p"))
     star = lists.join(pivots.hint("shuffle_merge"), "token").where(_possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), num, den)).select(F.col("p.gid").alias("g"), "gid")
     star = star.union(reps.where("many").select("gid", "rep"))
     star = staged(_ordered(star.toDF("g", "h"), "g", "h"), "join-star")
-    listed = lists.select("gid").distinct().withColumn("listed", F.lit(True))
-    open_reps = staged(reps.join(listed, "gid", "left").where("many or listed").select("rep", "gid"), "join-open")
-    sets = staged(_sets(d, open_reps.select(F.col("rep").alias("doc_id")).distinct(), n), "join-elements")
-    links = staged(_verified(star, sets, num, den), "join-links")
+    links = _verified(d, real, star, n, num, den)
     comp = components(links)
 
     # Entries by group and component; a group whose members are in several components is a list, too.
+    listed = lists.select("gid").distinct().withColumn("listed", F.lit(True))
+    open_reps = reps.join(listed, "gid", "left").where("many or listed").select("rep", "gid")
     unit_of = open_reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", F.coalesce("component", "rep").alias("comp"))
     unit_of = staged(unit_of, "join-units")
     units = unit_of.groupBy("gid", "comp").agg(F.min("rep").alias("unit"))
@@ -224,7 +249,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     member = unit_of.join(units, ["gid", "comp"]).select("unit", "rep")
     pairs = pairs.join(member.select(F.col("unit").alias("a"), F.col("rep").alias("ra")), "a").join(member.select(F.col("unit").alias("b"), F.col("rep").alias("rb")), "b")
     pairs = _ordered(pairs, "ra", "rb")
-    more = staged(_verified(pairs, sets, num, den), "join-links")
+    more = _verified(d, real, staged(pairs, "join-pairs"), n, num, den)
     if not more.isEmpty():
         links = links.union(more)
         comp = components(links)
@@ -234,3 +259,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
     out = a.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose component has a smaller identifier; rows without identifier stay."""
+    gone = jaccard_components(docs, n, num, den, id_col, text_col).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(staged(gone, "join-gone"), id_col, "left_anti").select(*docs.columns)
