@@ -13,7 +13,7 @@ partition), so their list can be broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ascii_lower, partitions, pick
@@ -21,40 +21,57 @@ from corpusloom.llm.common import ascii_lower, partitions, pick
 PREFIX = 24
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z; null counts as empty.
-    ``keep`` says whether the largest or smallest identifier of equal texts stays.
-    Rows that repeat an identifier and text form one group, of which one row stays.
-    Null identifiers come last, so such a row stays only if its group has no other.
-    An empty table gives an empty result; further columns of ``docs`` are ignored.
-    """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    limit = max(16, docs.count() // (8 * n) + 1)
-    d = pick(docs, doc_id=id_col, text=text_col).select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
+def _marked(d: DataFrame, keep: str) -> DataFrame:
+    """``d`` (doc_id, norm and any more) without norm, with keep_id, group_size, kept and text_sha256."""
+    n = partitions(d.sparkSession)
+    more = [c for c in d.columns if c not in ("doc_id", "norm")]
+    limit = max(16, d.count() // (8 * n) + 1)
     d = d.withColumn("h", F.xxhash64("norm"))
-    hot = d.groupBy("h").agg(F.count("*").alias("copies")).where(F.col("copies") > limit)
-    hot = hot.select("h", F.ceil(F.col("copies") / limit).cast("int").alias("salts"))  # rows / limit entries at most
+    copies = d.groupBy("h").agg(F.count("*").alias("copies")).where(F.col("copies") > limit)
+    hot = copies.select("h", F.ceil(F.col("copies") / limit).cast("int").alias("salts"))  # rows / limit entries at most
     d = d.join(F.broadcast(hot), "h", "left")
     d = d.withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts"))).cast("int"))
     d = d.withColumn("start", F.substring("norm", 1, PREFIX))
+    # The runs of a salted text meet again here: a row per hot text, found before the sort.
+    best = (F.max if keep == "largest" else F.min)("doc_id")
+    whole = d.where(F.col("salts").isNotNull()).groupBy("h", F.sha2("norm", 256).alias("text_sha256")).agg(best.alias("best"), F.count("*").alias("all_size")).drop("h")
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
     run = ["start", "h", "norm", "salt"]
     d = d.repartitionByRange(n, "start", "h", "salt").sortWithinPartitions(*run, order)
     w = Window.partitionBy(*run).orderBy(order)
     rows = d.select(
-        "doc_id", "h", "salts", F.sha2("norm", 256).alias("text_sha256"), F.first("doc_id").over(w).alias("keep_id"),
-        F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("group_size"),
+        "doc_id", *more, F.sha2("norm", 256).alias("text_sha256"), F.first("doc_id").over(w).alias("first_id"),
+        F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("run_size"),
         F.row_number().over(w).alias("n"),
     )
-    # The runs of a salted text meet again: a few rows per hot text.
-    best = (F.max if keep == "largest" else F.min)("keep_id")
-    whole = rows.where(F.col("salts").isNotNull() & (F.col("n") == 1)).groupBy("text_sha256").agg(best.alias("best"), F.sum("group_size").alias("all_size"))
-    out = rows.join(F.broadcast(whole), "text_sha256", "left")  # one row per hot text, as above
-    keep_id = F.when(F.col("all_size").isNull(), F.col("keep_id")).otherwise(F.col("best"))
-    return out.select(
-        "doc_id", keep_id.alias("keep_id"), F.coalesce("all_size", "group_size").cast("long").alias("group_size"),
+    rows = rows.join(F.broadcast(whole), "text_sha256", "left")
+    keep_id = F.when(F.col("all_size").isNull(), F.col("first_id")).otherwise(F.col("best"))
+    return rows.select(
+        "doc_id", *more, keep_id.alias("keep_id"), F.coalesce("all_size", "run_size").cast("long").alias("group_size"),
         ((F.col("n") == 1) & F.col("doc_id").eqNullSafe(keep_id)).alias("kept"), "text_sha256",
     )
+
+
+def _norm(text_col: str) -> Column:
+    return ascii_lower(F.coalesce(text_col, F.lit("")))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as empty.
+    ``keep`` says whether the largest or smallest identifier of equal texts stays.
+    Rows that repeat an identifier and text form one group, of which one row stays.
+    Null identifiers come last, so such a row stays only if its group has no other.
+    An empty table gives an empty result; further columns of ``docs`` are ignored.
+    """
+    d = pick(docs, doc_id=id_col, text=text_col).select("doc_id", _norm("text").alias("norm"))
+    return _marked(d, keep)
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns."""
+    names = docs.columns
+    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in names]).alias("row"))
+    d = d.select("doc_id", _norm("text").alias("norm"), "row")
+    return _marked(d, keep).where("kept").select(*[F.col("row").getField(c).alias(c) for c in names])
