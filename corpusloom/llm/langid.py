@@ -206,3 +206,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     d = d.select("doc_id", F.col("text").cast("string").alias("text"))
     out = predict(d, filters)
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def known_language(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with a score of ``least`` at least."""
+    filters = fit(training_rows(docs, id_col, text_col, lang_col))
+    names = docs.columns
+    d = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].cast("string").alias("text"))
+    out = predict(d, filters).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names])
