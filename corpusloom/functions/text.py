@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ IMPORT_FORMS = [
 MAX_CHUNK_LINES, CHUNK_OVERLAP = 120, 20
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, nothing else; ``lower`` is the fast way for ASCII texts."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -33,8 +40,7 @@ def ascii_lower(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; no empty line after a last line end."""
-    parts = F.split(text, r"\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, r"\r?\n", -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def line_count(text: Column) -> Column:
@@ -87,10 +93,14 @@ def fts_terms(query: str, most: int = 16) -> list[str]:
     return sorted({w.lower() for w in re.findall(r"[A-Za-z0-9_]+", query) if len(w) >= 2})[:most]
 
 
+#: Lower-case letters of the Latin blocks with diacritics, and the letters they stand on.
+ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1)
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
+
+
 def fts_words(text: Column) -> Column:
     """Words of the full-text index: letters and digits, lower-cased, without diacritics."""
-    bare = F.regexp_replace(F.normalize(F.lower(text), F.lit("NFD")) if hasattr(F, "normalize") else F.lower(text), r"\p{Mn}+", "")
-    return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def excerpt(text: Column, line: Column | int, context: int) -> Column:

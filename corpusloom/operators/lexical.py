@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,8 +63,8 @@ def fts_phrases(query: str) -> list[list[str]]:
     return [[w.lower() for w in re.findall(r"[^\W_]+", t)] for t in text.fts_terms(query)]
 
 
-def _matches(phrases: list[list[str]], columns: list[str]) -> Column:
-    """Array with the number of hits of each phrase in arrays of words; hits don't cross columns."""
+def _matches(phrases: list[list[str]], columns: list[Column]) -> Column:
+    """Array with the number of hits of each phrase in arrays of words, then the number of words; hits don't cross columns."""
 
     def hits(col: Column, phrase: list[str]) -> Column:
         if len(phrase) == 1:
@@ -72,7 +73,10 @@ def _matches(phrases: list[list[str]], columns: list[str]) -> Column:
         same = lambda i: F.slice(col, i, len(phrase)) == F.array(*map(F.lit, phrase))
         return F.size(F.filter(at, same))
 
-    return F.array(*[sum((hits(F.col(c), p) for c in columns), F.lit(0)).cast("long") for p in phrases])
+    def counted(col: Column) -> Column:
+        return text.let(col, lambda w: F.array(*[hits(w, p).cast("long") for p in phrases], F.size(w).cast("long")))
+
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), map(counted, columns))
 
 
 def bm25_search(docs: DataFrame, query: str, k: int, columns: list[str] = ("text",), key: str = "doc_id", ties: list[str] = ()) -> DataFrame:
@@ -85,10 +89,8 @@ def bm25_search(docs: DataFrame, query: str, k: int, columns: list[str] = ("text
     if not phrases:
         return docs.select(key).limit(0).select(key, F.lit(0.0).alias("score"), F.lit(0.0).alias("fts_score"), F.lit(0).alias("rank"))
     words = [F.array_join(c, " ") if dict(docs.dtypes)[c].startswith("array") else F.coalesce(F.col(c), F.lit("")) for c in columns]
-    split = docs.select(key, *ties, *[text.fts_words(w).alias(f"w{i}") for i, w in enumerate(words)])
-    names = [f"w{i}" for i in range(len(words))]
-    length = sum((F.size(F.col(c)) for c in names), F.lit(0)).cast("long")
-    counted = split.select(key, *ties, _matches(phrases, names).alias("f"), length.alias("len"))
+    counted = docs.select(key, *ties, _matches(phrases, [text.fts_words(w) for w in words]).alias("f"))
+    counted = counted.select(key, *ties, F.slice("f", 1, len(phrases)).alias("f"), F.element_at("f", -1).alias("len"))
     flags = [F.sum((F.get("f", F.lit(i)) > 0).cast("long")).alias(f"n{i}") for i in range(len(phrases))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *flags)
     row = counted.where(F.exists("f", lambda x: x > 0)).join(F.broadcast(stats))
