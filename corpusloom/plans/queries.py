@@ -14,7 +14,6 @@ from corpusloom.streaming import changes
 
 SEARCH, PHRASE, GREP = "thanedble attion worthless haing", "of_the to_and", "PATHETIC|worthless"
 DIMS = 64
-T = F.col("text")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +30,7 @@ def _bench(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_counts(spark, d):
     docs = _docs(spark, d)
-    return docs.groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.sum(text.token_estimate(T)).alias("tokens"))
+    return docs.groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.sum(text.token_estimate(F.col("text"))).alias("tokens"))
 
 
 def path_classes(spark, d):
@@ -55,7 +54,7 @@ def chunk_windows(spark, d):
 
 
 def code_tokens(spark, d):
-    tokens = _docs(spark, d).select("doc_id", text.code_tokens(T).alias("t"))
+    tokens = _docs(spark, d).select("doc_id", text.code_tokens(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_sha256"))
 
 
@@ -92,8 +91,8 @@ def grep_ci(spark, d):
 
 
 def excerpts(spark, d):
-    middle = F.ceil(text.line_count(T) / 2).cast("int")
-    return _docs(spark, d).select("doc_id", F.sha2(text.excerpt(T, middle, 2), 256).alias("excerpt_sha256"))
+    middle = F.ceil(text.line_count(F.col("text")) / 2).cast("int")
+    return _docs(spark, d).select("doc_id", F.sha2(text.excerpt(F.col("text"), middle, 2), 256).alias("excerpt_sha256"))
 
 
 def hash_embed_long(spark, d):
@@ -124,13 +123,13 @@ def dense_labels(spark, d):
 
 
 def text_hash_groups(spark, d):
-    return _docs(spark, d).groupBy(text.text_hash(T).alias("text_hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    return _docs(spark, d).groupBy(text.text_hash(F.col("text")).alias("text_hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
 
 
 def _snapshots(spark, d):
     docs = _docs(spark, d)
-    indexed = docs.where("source <> 'src7'").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), text.text_hash(T).alias("text_hash"))
-    now = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(T)
+    indexed = docs.where("source <> 'src7'").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), text.text_hash(F.col("text")).alias("text_hash"))
+    now = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return docs.where("source <> 'src3'").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), text.text_hash(now).alias("text_hash")), indexed
 
 
@@ -216,18 +215,18 @@ def _questions(spark, d):
 
 
 def intent_classify(spark, d):
-    return _questions(spark, d).select("conv_id", "turn", retrieval.intent_column(T).alias("intent"))
+    return _questions(spark, d).select("conv_id", "turn", retrieval.intent_column(F.col("text")).alias("intent"))
 
 
 def query_terms(spark, d):
-    return _questions(spark, d).select("conv_id", "turn", F.array_join(retrieval.terms_column(T), " ").alias("terms"))
+    return _questions(spark, d).select("conv_id", "turn", F.array_join(retrieval.terms_column(F.col("text")), " ").alias("terms"))
 
 
 def score_fusion(spark, d):
     """Two sources for each benchmark text, merged and weighted: TF-IDF, and common words over words + 1."""
     docs, q = _docs(spark, d), _bench(spark, d)
     dense_hits = lexical.tfidf_search(docs, q, 30)
-    words = lambda df, k: df.select(k, F.explode(F.array_distinct(text.words(T))).alias("w"))
+    words = lambda df, k: df.select(k, F.explode(F.array_distinct(text.words(F.col("text")))).alias("w"))
     common = words(docs, "doc_id").join(words(q, "query_id"), "w").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
     lex_hits = lexical.ranked(common.withColumn("score", F.round(F.col("n") / (F.col("n") + 1), 6)), 30, "query_id", "doc_id")
     path = F.concat(F.col("query_id").cast("string"), F.lit("/"), F.col("doc_id").cast("string"))
@@ -259,12 +258,12 @@ def fallback_plan(spark, d):
 
 
 def token_estimate(spark, d):
-    return _docs(spark, d).select("doc_id", text.token_estimate(T).alias("tokens"))
+    return _docs(spark, d).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
 def budget_pack(spark, d):
     """The beginning of each author's documents that fits a context."""
-    rows = _docs(spark, d).select("source", "doc_id", text.token_estimate(T).alias("tokens"))
+    rows = _docs(spark, d).select("source", "doc_id", text.token_estimate(F.col("text")).alias("tokens"))
     return budget.packed(rows, budget.DEFAULT_TOKENS, ["doc_id"], group=["source"])
 
 
@@ -286,7 +285,7 @@ def debounce_sessions(spark, d):
 
 def ir_metrics(spark, d):
     q = _bench(spark, d)
-    qrels = _docs(spark, d).select("doc_id", T.alias("body")).join(F.broadcast(q), F.col("body").contains(F.col("text"))).select("query_id", "doc_id")  # the stated query set
+    qrels = _docs(spark, d).select("doc_id", F.col("text").alias("body")).join(F.broadcast(q), F.col("body").contains(F.col("text"))).select("query_id", "doc_id")  # the stated query set
     return evaluation.ir_metrics(tfidf_batch(spark, d), qrels)
 
 
