@@ -199,7 +199,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
     _, turned = np.linalg.eigh(merged(base.select("v"), length, np.float64, gram)[: dim * dim].reshape(dim, dim))
     rotation = spark.sparkContext.broadcast(np.ascontiguousarray(turned[:, ::-1]))  # dim x dim
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n_blocks = max(1, -(-facts.n // BLOCK_ROWS))
     longest_first = base.withColumn("norm", -norm).repartitionByRange(n_blocks, "norm", "vec_id").sortWithinPartitions("norm", "vec_id")
     blocks = staged(_blocks(longest_first, dim, BLOCK_ROWS), "topk-blocks")
