@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from corpusloom.llm.common import pick
+from corpusloom.llm.common import pick, small_batches
 
 NEVER = 1 << 60
 #: Looked-up arcs and encoded words that a worker keeps; beyond it the older half goes.
-KEEP_ARCS, KEEP_WORDS = 1_000_000, 250_000
+KEEP_ARCS, KEEP_WORDS = 200_000, 80_000
 #: The tokenizer file's split in Python's engine; it is right for texts without the characters of ODD.  For other
 #: texts the library splits, as the character classes of its Unicode version count.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -182,7 +182,7 @@ class Tokenizer:
         return " ".join(i for i, _ in found if i), " ".join(s for i, s in found if i)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(raw: str) -> Tokenizer:
     return Tokenizer(raw)
 
@@ -206,7 +206,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    d = pick(docs, doc_id=id_col, text=text_col)
+    d = small_batches(pick(docs, doc_id=id_col, text=text_col))
     schema = d.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,21 @@ def fold(doc_id: str, n: int) -> Column:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns under fixed names, so that extra columns can't clash."""
     return df.select(*[df[c].alias(k) for k, c in columns.items()])
+
+
+#: Rows and bytes of a batch that goes to Python or comes from there.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends texts to Python in small batches.
+
+    By default a batch is 10,000 rows, which of long documents is more than a worker should
+    hold.  Batches are cut when a plan runs, so the settings stay; smaller ones are kept.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = re.sub(r"\D", "", conf.get(key)) or "0"
+        if not 0 < int(held) <= most:
+            conf.set(key, str(most))
+    return df

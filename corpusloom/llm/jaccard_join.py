@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from corpusloom.llm.common import pick
+from corpusloom.llm.common import pick, small_batches
 from corpusloom.llm.fixed import merged
 from corpusloom.llm.graph import components
 from corpusloom.llm.pieces import mixed, prefix_sums, slices
@@ -203,7 +203,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     verified at the document's class, enough to connect its component.  Rows with the same doc_id
     count as one document; rows without one link with nothing and get no component.  Further columns are ignored.
     """
-    d = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
+    d = small_batches(pick(docs, doc_id=id_col, text=text_col)).select("doc_id", F.col("text").cast("string").alias("text"))
     a = staged(_described(d, n, num, den), "join-sets")
     real = a.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     small = real.select("doc_id", "n", "digest", "group")

@@ -12,15 +12,17 @@ don't fill the filters as the corpus grows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import fold, pick
+from corpusloom.llm.common import fold, pick, small_batches
 from corpusloom.llm.pieces import letter_table, mixed, slices
 
 SLOTS, HASHES = 1 << 19, 3
@@ -191,7 +193,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows that may teach: crc32(identifier) mod 3 is not 1."""
-    d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
+    d = small_batches(pick(docs, doc_id=id_col, text=text_col, lang=lang_col))
     return d.where(fold("doc_id", 3) != 1)
 
 
@@ -211,7 +213,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def known_language(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a language, with a score of ``least`` at least."""
     filters = fit(training_rows(docs, id_col, text_col, lang_col))
-    names = docs.columns
-    d = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].cast("string").alias("text"))
-    out = predict(d, filters).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in names])
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            lang, score = shared.value.predict(part.fillna("").tolist())
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
+
+    # Only texts go to Python; the rows wait in the JVM.
+    p = predicted(docs[text_col].cast("string"))
+    return docs.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least))

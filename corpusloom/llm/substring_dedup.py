@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import pick
+from corpusloom.llm.common import pick, small_batches
 from corpusloom.llm.pieces import mixed
 
 #: Window of the gear hash in bytes, and bits that must be zero at a boundary.
@@ -108,7 +108,7 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id
     """
     if min_run <= MOST:
         raise ValueError(f"min_run must be over {MOST}, the longest chunk")
-    d = pick(docs, doc_id=id_col, text=text_col).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    d = small_batches(pick(docs, doc_id=id_col, text=text_col)).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     c = chunk_rows(d)
     twice = c.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where(F.col("first_doc_id") < F.col("last")).drop("last")
     found = c.join(twice.hint("shuffle_merge"), "digest").select("doc_id", "first_doc_id", F.shiftright("place", 8).alias("start"), F.col("place").bitwiseAND(255).alias("size")).distinct()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold, pick
+from corpusloom.llm.common import fold, pick, small_batches
 from corpusloom.llm.pieces import letter_table, mixed, prefix_sums, slices
 
 #: Characters that stand for letters.
@@ -300,7 +300,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ``labels`` with a null label teach nothing; without any label nothing is predicted toxic.
     Repeated rows give repeated results; further columns are ignored.
     """
-    d = pick(docs, doc_id=id_col, text=text_col)
+    d = small_batches(pick(docs, doc_id=id_col, text=text_col))
     d = d.select("doc_id", F.col("text").cast("string").alias("text"))
     scorer = fit(d, labels)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # FEATURES weights and ALPHABET ** 3 probabilities at most
