@@ -103,7 +103,7 @@ def fts_words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def excerpt(text: Column, line: Column | int, context: int) -> Column:
+def excerpt(text: Column, line: Column | int, context: Column | int) -> Column:
     """Numbered lines around ``line``, each ended by a line break."""
     at = F.lit(line) if isinstance(line, int) else line
     start = F.greatest(at - context, F.lit(1))

@@ -106,10 +106,22 @@ def bm25_search(docs: DataFrame, query: str, k: int, columns: list[str] = ("text
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *(ties or [key]))))
 
 
-def grep(lines: DataFrame, pattern: str, limit: int, order: list[str | Column]) -> DataFrame:
-    """The first ``limit`` rows of (…, line) that match without case; a pattern that is no expression is literal."""
+def grep_many(lines: DataFrame, patterns: list[str], limit: int, order: list[str | Column]) -> DataFrame:
+    """The first ``limit`` rows of each pattern, in one pass; ``pattern`` is its number."""
+    which = F.array_compact(F.array(*[F.when(F.col("line").rlike(f"(?i){_usable(p)}"), i) for i, p in enumerate(patterns)]))
+    hits = lines.withColumn("pattern", F.explode(which))
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy(*order))).where(F.col("r") <= limit).drop("r")
+
+
+def _usable(pattern: str) -> str:
+    """The pattern, escaped if it is no expression."""
     try:
         re.compile(pattern)
     except re.error:
-        pattern = re.escape(pattern)
-    return lines.where(F.col("line").rlike(f"(?i){pattern}")).orderBy(*order).limit(limit)
+        return re.escape(pattern)
+    return pattern
+
+
+def grep(lines: DataFrame, pattern: str, limit: int, order: list[str | Column]) -> DataFrame:
+    """The first ``limit`` rows of (…, line) that match without case; a pattern that is no expression is literal."""
+    return lines.where(F.col("line").rlike(f"(?i){_usable(pattern)}")).orderBy(*order).limit(limit)

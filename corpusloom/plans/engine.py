@@ -149,28 +149,32 @@ class Engine:
         """Merged candidates of all sources."""
         spark, files = self.spark, self.classified.select("path", "text", "is_text")
         found: list[DataFrame] = []
-        previews = files.select("path", "text")
+        table = lambda names: spark.createDataFrame([(n,) for n in names], "query string")
+        # Sources that point at lines get their previews in one join.
+        pointed: list[DataFrame] = []
 
-        def with_excerpt(df: DataFrame, context: int) -> DataFrame:
-            return df.join(previews, "path").withColumn("preview", text.excerpt(F.col("text"), F.col("line_start"), context))
+        def point(df: DataFrame, src: int, context: int, end: str, name, symbol: float = 0.0, near: float = 0.0, grep: int = 0) -> None:
+            names = F.array(name) if name is not None else F.array().cast("array<string>")
+            pointed.append(df.select("path", "line_start", F.col(end).alias("line_end"), names.alias("names"), F.lit(symbol).alias("symbol"), F.lit(near).alias("graph"), F.lit(grep).alias("grep"), F.lit(context).alias("context"), F.lit(src).alias("src")))
 
-        table = lambda names: spark.createDataFrame([(n,) for n in names], "query string")
         hits = symbols.lookup_many(self.table("symbols"), table(a.symbols), 8) if a.symbols else None
         if a.intent == "FindSymbol" and a.terms and (hits is None or hits.isEmpty()):
             hits = symbols.lookup_many(self.table("symbols"), table(a.terms), 5)
         if hits is not None:
-            rows = with_excerpt(hits.select(F.col("file_path").alias("path"), "line_start", "line_end", "name"), 4)
-            found.append(r.source(rows, 0, path=F.col("path"), line_start=F.col("line_start"), line_end=F.col("line_end"), preview=F.col("preview"), names=F.array("name"), symbol=1.0))
+            point(hits.select(F.col("file_path").alias("path"), "line_start", "line_end", "name"), 0, 4, "line_end", F.col("name"), symbol=1.0)
         names = sorted({*a.symbols, *(a.terms if a.intent in ("FindSymbol", "FixBug") else [])})
         if names:
             refs = references.find_any(self.table("refs"), names, 12).select(F.col("file_path").alias("path"), F.col("line_number").alias("line_start"), "symbol_name")
-            rows = with_excerpt(refs, 2)
-            found.append(r.source(rows, 1, path=F.col("path"), line_start=F.col("line_start"), line_end=F.col("line_start"), preview=F.col("preview"), names=F.array("symbol_name"), symbol=0.75, graph=0.35))
+            point(refs, 1, 2, "line_start", F.col("symbol_name"), symbol=0.75, near=0.35)
+        if a.terms:
+            rows = lexical.grep_many(self.lines, a.terms[: r.GREP_TERMS], r.GREP_LIMIT, [paths.parts(F.col("path")), F.col("line_number")])
+            point(rows.withColumnRenamed("line_number", "line_start"), 3, 2, "line_start", None, grep=1)
+        if pointed:
+            rows = reduce(DataFrame.unionByName, pointed).join(files.select("path", "text"), "path")
+            shown = text.excerpt(F.col("text"), F.col("line_start"), F.col("context"))
+            found.append(r.source(rows, None, **{c: F.col(c) for c in ("path", "line_start", "line_end", "names", "symbol", "graph", "grep")}, preview=shown))
         by_chunk = dict(path=F.col("file_path"), line_start=F.col("line_start"), line_end=F.col("line_end"), preview=F.col("source"), names=F.col("symbols"))
         found.append(r.source(self.index_search(a.raw, r.SEARCH_LIMIT), 2, fts=F.col("fts_score"), **by_chunk))
-        for term in a.terms[: r.GREP_TERMS]:
-            rows = with_excerpt(self.grep(term, r.GREP_LIMIT).select("path", F.col("line_number").alias("line_start")), 2)
-            found.append(r.source(rows, 3, path=F.col("path"), line_start=F.col("line_start"), line_end=F.col("line_start"), preview=F.col("preview"), grep=1))
         found.append(r.source(self.vector_search(a.raw, r.SEARCH_LIMIT), 4, semantic=F.least("score", F.lit(1.0)), **by_chunk))
         if self.vectors is not None:
             found.append(r.source(self.embed_search(a.raw, r.SEARCH_LIMIT), 5, semantic=F.least("score", F.lit(1.0)), **by_chunk))
