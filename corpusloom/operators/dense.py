@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators.lexical import ranked
+from corpusloom.operators.lexical import ranked, term_frequency
 
 
 def hash_components(docs: DataFrame, dims: int, key: str = "doc_id") -> DataFrame:
@@ -15,7 +15,7 @@ def hash_components(docs: DataFrame, dims: int, key: str = "doc_id") -> DataFram
     Tokens are hashed once per distinct token and document.
     """
     n = max(8, dims)
-    tf = docs.select(key, F.explode(text.code_tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    tf = term_frequency(docs, key)
     h = F.sha2("token", 256)
     little = F.concat(*[F.substring("h", 15 - 2 * k, 2) for k in range(8)])
     slot = (F.conv(little, 16, 10).cast("decimal(20,0)") % n).cast("int")

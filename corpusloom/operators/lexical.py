@@ -13,9 +13,22 @@ from corpusloom.functions import text
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
+def token_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, token, n) whose sums by token are the counts of ``code_tokens``.
+
+    A plain word is a token twice, as a whole and as its only piece, so it needs no cutting; only
+    words with ``_``, ``$`` or an inner capital go through array functions.
+    """
+    w = F.col("w")
+    words = docs.select(key, F.explode(F.regexp_extract_all(text.ascii_lower(F.col("text")), F.lit(r"[\p{L}\p{N}_$]+"), F.lit(0))).alias("w")).where(F.length(w) >= 2)
+    compound = w.rlike(r"[_$]|\p{Ll}\p{Lu}")
+    rows = words.select(key, F.explode(F.when(compound, text.code_tokens(w)).otherwise(F.array(w))).alias("token"), F.when(compound, 1).otherwise(2).alias("n"))
+    return rows.where(~F.col("token").isin(text.CODE_STOP_WORDS))
+
+
 def term_frequency(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, token, tf) of (key, text); counting is map-side first."""
-    return docs.select(key, F.explode(text.code_tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    return token_rows(docs, key).groupBy(key, "token").agg(F.sum("n").alias("tf"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -43,7 +56,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id
     same counts, so postings of other tokens are never joined.
     """
     tf = term_frequency(docs, key)
-    wanted = queries.select(F.explode(text.code_tokens(F.col("text"))).alias("token")).distinct()
+    wanted = token_rows(queries, query).select("token").distinct()
     norms = tf.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     hits = tf.join(wanted, "token", "left_semi")
     n_docs = docs.agg(F.count("*").alias("n_docs"))
