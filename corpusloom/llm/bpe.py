@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusloom.llm.common import pick, small_batches
+from corpusloom.llm.pieces import tidy
 
 NEVER = 1 << 60
 #: Looked-up arcs and encoded words that a worker keeps; beyond it the older half goes.
@@ -230,4 +231,4 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
                     columns["ids"] = pa.array(every, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return d.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return d.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.pieces import tidy
+
 #: Parts of an array that are merged apart from each other.
 BLOCKS = 64
 
@@ -40,6 +42,6 @@ def merged(df: DataFrame, length: int, dtype: type, fill: Callable[[np.ndarray,
 
     out = np.zeros(length, dtype)
     schema = "block int, data binary"
-    for r in df.mapInArrow(make, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect():
+    for r in df.mapInArrow(tidy(make), schema).repartition(BLOCKS, "block").mapInArrow(tidy(add), schema).collect():
         out[r.block * part : (r.block + 1) * part] = np.frombuffer(r.data, dtype)
     return out

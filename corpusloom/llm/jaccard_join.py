@@ -8,7 +8,7 @@ wide-spread passages stay out of prefixes.
 1. Documents with equal sets are one class; classes with equal prefix and size are one group.
 2. Groups are listed by prefix element.  Lists with two groups or more are what is left to do.
    Pairs are filtered by size, position and element counts before their sets are fetched.
-3. In each list and group, every entry is verified against the smallest one.  In large groups of
+3. In each list and group, every entry is verified against one: the one with fewest rarer elements.  In large groups of
    near copies this links nearly all, with as many pairs as entries.
 4. What must still be verified are pairs of different components in one list: group pairs
    that pass the size and position filters are expanded to members and verified.  Pairs inside a
@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, LongType
 from corpusloom.llm.common import pick, small_batches
 from corpusloom.llm.fixed import merged
 from corpusloom.llm.graph import components
-from corpusloom.llm.pieces import mixed, prefix_sums, slices
+from corpusloom.llm.pieces import mixed, prefix_sums, slices, tidy
 from corpusloom.sources.scratch import staged
 
 #: Counters of the rarity estimate, and slots of the filter on candidates' identifiers.
@@ -120,7 +120,7 @@ def _described(d: DataFrame, n: int, num: int, den: int) -> DataFrame:
             })
 
     schema = d.select("doc_id").schema.add("n", "long").add("digest", "binary").add("group", "binary").add("prefix", ArrayType(LongType())).add("frequent", "integer").add("spread", "binary")
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(tidy(run), schema)
 
 
 def _sets(d: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _sets(d: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             sets = shingle_sets(part.column("text").to_pylist(), n)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "elements": pa.array([x.tobytes() for x in sets], pa.binary())})
 
-    out = d.withColumn("slot", slot).mapInArrow(run, d.select("doc_id").schema.add("elements", "binary"))
+    out = d.withColumn("slot", slot).mapInArrow(tidy(run), d.select("doc_id").schema.add("elements", "binary"))
     return out.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
@@ -156,7 +156,7 @@ def _near(pairs: DataFrame, described: DataFrame, num: int, den: int) -> DataFra
 
     left, right = (described.select(F.col("doc_id").alias(i), F.col("spread").alias(v), F.col("n").alias(c)).dropDuplicates([i]) for i, v, c in (("a", "x", "na"), ("b", "y", "nb")))
     both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
-    return staged(both.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, pairs.select("a", "b").schema), "join-near")
+    return staged(both.select("a", "b", "x", "y", "na", "nb").mapInArrow(tidy(run), pairs.select("a", "b").schema), "join-near")
 
 
 def _verified(d: DataFrame, described: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _verified(d: DataFrame, described: DataFrame, pairs: DataFrame, n: int, num:
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
-    return staged(both.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema), "join-links")
+    return staged(both.select("a", "b", "x", "y").mapInArrow(tidy(run), pairs.select("a", "b").schema), "join-links")
 
 
 def _possible(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) -> Column:
@@ -222,7 +222,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     lists = lists.select("token", "gid", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos"))
 
     reps = m.select("rep", "gid", "n", "many").distinct()
-    pivots = lists.groupBy("token").agg(F.min_by(F.struct("gid", "n", "pos"), "gid").alias("p"))
+    pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("p"))  # the least rare elements of its own: the likeliest origin of copies
     star = lists.join(pivots.hint("shuffle_merge"), "token").where(_possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), num, den)).select(F.col("p.gid").alias("g"), "gid")
     star = star.union(reps.where("many").select("gid", "rep"))
     star = staged(_ordered(star.toDF("g", "h"), "g", "h"), "join-star")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import fold, pick, small_batches
-from corpusloom.llm.pieces import letter_table, mixed, slices
+from corpusloom.llm.pieces import give_back, letter_table, mixed, slices, tidy
 
 SLOTS, HASHES = 1 << 19, 3
 SHARE, LEAST = 0.2, 2e-6
@@ -171,7 +171,7 @@ def fit(labelled: DataFrame, most: int = TRAIN_DOCS) -> Filters:
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if total > most:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / total))
-    counts = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_count, "lang string, gram long, n long")
+    counts = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(tidy(_count), "lang string, gram long, n long")
     return Filters.build([tuple(r) for r in counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()])
 
 
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -220,6 +220,7 @@ def known_language(docs: DataFrame, least: float, id_col: str = "doc_id", text_c
         for part in texts:
             lang, score = shared.value.predict(part.fillna("").tolist())
             yield pd.DataFrame({"lang_pred": lang, "score": score})
+        give_back()
 
     # Only texts go to Python; the rows wait in the JVM.
     p = predicted(docs[text_col].cast("string"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters or bytes that are worked on at once; longer texts are cut.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: What separates words, as in ``common.WORD``.
 WHITE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -72,3 +74,23 @@ def prefix_sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * power[: len(codes)], out=sums[1:])
     return sums, inverse
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives free memory back: it waits for its next task beside the JVM."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import pick, small_batches
-from corpusloom.llm.pieces import mixed
+from corpusloom.llm.pieces import mixed, tidy
 
 #: Window of the gear hash in bytes, and bits that must be zero at a boundary.
 WINDOW, ZERO_BITS = 16, 4
@@ -94,7 +94,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": ids, "digest": pa.array(np.array(digests, np.uint64).view(np.int64)), "place": pa.array(places, pa.int64())})
 
     schema = docs.select("doc_id").schema.add("digest", "long").add("place", "long")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,4 +142,4 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_
                 out.append(text)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(out, pa.string())})
 
-    return d.mapInArrow(run, pick(docs, doc_id=id_col).schema.add("text", "string"))
+    return d.mapInArrow(tidy(run), pick(docs, doc_id=id_col).schema.add("text", "string"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import partitions, pick
 from corpusloom.llm.fixed import BLOCKS, merged
+from corpusloom.llm.pieces import tidy
 from corpusloom.sources.scratch import staged
 
 QUERY_ROWS, BLOCK_ROWS = 1024, 4096
@@ -92,7 +93,7 @@ def _blocks(rows: DataFrame, dim: int, size: int) -> DataFrame:
         if held:
             yield out()
 
-    return rows.select("vec_id", "v").mapInArrow(run, BLOCK)
+    return rows.select("vec_id", "v").mapInArrow(tidy(run), BLOCK)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +172,7 @@ def _searched(cells: DataFrame, rotation, dim: int, k: int) -> DataFrame:
                         "vec_id": pa.array(np.concatenate([i for _, i, _ in got])), "score": pa.array(np.concatenate([s for _, _, s in got])),
                     })
 
-    return cells.select("q_ids", "q_width", "q_data", "floors", "ids", "width", "data").mapInArrow(run, "query_id long, vec_id long, score long")
+    return cells.select("q_ids", "q_width", "q_data", "floors", "ids", "width", "data").mapInArrow(tidy(run), "query_id long, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -217,9 +218,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
     head = staged(_ranked(grid(ends.a, ends.a, queries.withColumn("floors", F.lit(None).cast("binary"))), k), "topk-head")
     # A query's floor is its k-th best so far; those of a query block travel with it, sorted by identifier.
-    q_of = queries.select("q", "q_ids").mapInArrow(_members, "q long, query_id long")
+    q_of = queries.select("q", "q_ids").mapInArrow(tidy(_members), "q long, query_id long")
     floors = head.where(F.col("rank") == k).join(q_of, "query_id").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("query_id", "score"))).alias("f"))  # QUERY_ROWS at most
-    rest = grid(ends.a + 1, ends.b, queries.join(floors, "q", "left").mapInArrow(_with_floors, "q long, q_ids binary, q_width int, q_data binary, floors binary")) if ends.b > ends.a else None
+    rest = grid(ends.a + 1, ends.b, queries.join(floors, "q", "left").mapInArrow(tidy(_with_floors), "q long, q_ids binary, q_width int, q_data binary, floors binary")) if ends.b > ends.a else None
     found = head.select("query_id", "vec_id", "score")
     found = found.union(rest) if rest is not None else found
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

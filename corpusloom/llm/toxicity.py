@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold, pick, small_batches
-from corpusloom.llm.pieces import letter_table, mixed, prefix_sums, slices
+from corpusloom.llm.pieces import letter_table, mixed, prefix_sums, slices, tidy
 
 #: Characters that stand for letters.
 LOOKALIKES = {"4": "a", "@": "a", "3": "e", "€": "e", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z"}
@@ -70,7 +70,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"gram": pa.array(some.astype(np.int32)), "n": pa.array(total[some])})
 
     out = np.zeros(ALPHABET**3)
-    for r in docs.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # ALPHABET ** 3 rows at most
+    for r in docs.mapInArrow(tidy(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # ALPHABET ** 3 rows at most
         out[r.gram] = r.n
     return out
 
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
                 likeness = [hash((f[0], f[min(1, len(f) - 1)])) if f else 0 for f in feats]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.string()), "toxic": part.column("toxic"), "likeness": pa.array(likeness, pa.int64()), "features": pa.array(feats, pa.list_(pa.int64()))})
 
-    rows = _sampled(docs, labels, most).mapInArrow(run, "doc_id string, toxic int, likeness long, features array<long>")
+    rows = _sampled(docs, labels, most).mapInArrow(tidy(run), "doc_id string, toxic int, likeness long, features array<long>")
     rows = rows.groupBy("likeness", "toxic").agg(F.min(F.struct("doc_id", "features")).alias("r")).select("toxic", "r.features")
     rows = rows.groupBy("features").agg(F.max("toxic").alias("toxic"))
     # One job counts features and documents: feature null stands for the document itself.
@@ -320,6 +320,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     columns["restored"] = pa.array([channel.restore(t.lower()) for t in texts], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    out = d.mapInArrow(run, schema)
+    out = d.mapInArrow(tidy(run), schema)
     first = out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(["restored"] if with_restored else []))
     return first
