@@ -30,8 +30,9 @@ from corpusloom.llm.pieces import mixed, tidy
 WINDOW, ZERO_BITS = 16, 4
 #: Bytes of a chunk; the mean is about LEAST + 2 ** ZERO_BITS.
 LEAST, MOST = 16, 96
-#: Repeated bytes in a row that count; larger than MOST.
-MIN_RUN = 100
+#: Repeated bytes in a row that count; larger than MOST.  A passage of 50 words, some 300 bytes, leaves so
+#: many in whole chunks, as up to a chunk is lost at either end.
+MIN_RUN = 180
 
 
 @lru_cache(maxsize=1)
