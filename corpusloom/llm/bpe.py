@@ -38,8 +38,8 @@ from corpusloom.llm.common import pick, small_batches
 from corpusloom.llm.pieces import tidy
 
 NEVER = 1 << 60
-#: Looked-up arcs and encoded words that a worker keeps; beyond it the older half goes.
-KEEP_ARCS, KEEP_WORDS = 200_000, 80_000
+#: Looked-up arcs that a worker keeps; encoded words that it keeps for good once seen twice, and words seen once lately.
+KEEP_ARCS, KEEP_WORDS, RECENT_WORDS = 200_000, 160_000, 40_000
 #: The tokenizer file's split in Python's engine; it is right for texts without the characters of ODD.  For other
 #: texts the library splits, as the character classes of its Unicode version count.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -133,22 +133,24 @@ class MergeAutomaton:
 
 
 class Words(dict):
-    """Word to (ids joined by spaces, labels joined by spaces), kept in two generations."""
+    """Word to (ids joined by spaces, labels joined by spaces); rare words don't drive out common ones."""
 
     def __init__(self, automaton: MergeAutomaton, as_symbols: bool = False):
         super().__init__()
-        self.automaton, self.older, self.as_symbols, self.symbols = automaton, {}, as_symbols, byte_symbols()
+        self.automaton, self.recent, self.as_symbols, self.symbols = automaton, {}, as_symbols, byte_symbols()
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        found = self.older.get(word)
-        if found is None:
-            symbols = word if self.as_symbols or (word.isascii() and word.isalnum()) else "".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace")))
-            ids = self.automaton.encode(symbols)
-            found = (" ".join(map(str, ids)), " ".join(map(self.automaton.labels.__getitem__, ids)))
-        if len(self) >= KEEP_WORDS:
-            self.older = dict(self)
-            self.clear()
-        self[word] = found
+        found = self.recent.get(word)
+        if found is not None:
+            if len(self) < KEEP_WORDS:
+                self[word] = found
+            return found
+        symbols = word if self.as_symbols or (word.isascii() and word.isalnum()) else "".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace")))
+        ids = self.automaton.encode(symbols)
+        found = (" ".join(map(str, ids)), " ".join(map(self.automaton.labels.__getitem__, ids)))
+        if len(self.recent) >= RECENT_WORDS:
+            self.recent.clear()
+        self.recent[word] = found
         return found
 
 
