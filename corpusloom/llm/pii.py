@@ -48,8 +48,8 @@ KINDS = {
     "person": rf"(?<![\p{{L}}\d])(?:(?:{_titles})\.? {_NAME}(?: {_NAME})?|(?:{_given}) {_NAME})(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A cheap sign without which a text has no entity.
-SIGN = rf"[0-9@]|(?:{_titles})\.? |(?:{_given}) |password|passwd|secret|token|api_key"
+#: A cheap sign without which a text has no entity: every alternative of PATTERN implies it.
+SIGN = rf"[0-9@]|(?:{_titles})\.? |(?:{_given}) |password|passwd|secret|token|api_key|AKIA|[a-f]{{32}}"
 
 
 def kind_of(entity: Column) -> Column:
@@ -166,9 +166,14 @@ def surrogate(entity: Column, kind: Column, drawn: Column, key: str) -> Column:
     return F.when(kind == "ip", drawn).when(kind == "email", address).when(kind == "phone", phone).when(kind == "person", _person(entity, drawn, key)).otherwise(_woven(entity, drawn))
 
 
+def has_entity(text: Column) -> Column:
+    """Whether anything of ``text`` is replaced; never null."""
+    return F.coalesce(text.rlike(SIGN) & text.rlike(PATTERN), F.lit(False))
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """(doc_id, text, entities) of the texts with entities; entities: array of (entity, kind, name)."""
-    some = docs.where(F.col("text").rlike(SIGN)).withColumn("all", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).where(F.size("all") > 0)
+    some = docs.where(has_entity(F.col("text"))).withColumn("all", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
 
     def one(e: Column) -> Column:
         return F.struct(e.alias("entity"), kind_of(e).alias("kind"), canonical(kind_of(e), e).alias("name"))
@@ -218,5 +223,5 @@ def replaced(docs: DataFrame, key: str = "corpusloom", id_col: str = "doc_id", t
 def surrogate_documents(docs: DataFrame, key: str = "corpusloom", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of every row, with entities replaced; rows without any pass through."""
     d = pick(docs, doc_id=id_col, text=text_col)
-    clean = d.where(F.col("text").isNull() | ~F.col("text").rlike(PATTERN))
+    clean = d.where(~has_entity(F.col("text").cast("string")))
     return clean.unionByName(replaced(docs, key, id_col, text_col).select("doc_id", "text"))
