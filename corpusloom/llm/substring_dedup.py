@@ -99,12 +99,13 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per run of repeated chunks: doc_id, start, n_bytes, n_chunks, removed_bytes, first_doc_id, kept.
+    """One row per run of repeated chunks: doc_id, start, n_bytes, n_chunks, removed_bytes, first_doc_id, kept, held.
 
     ``start`` and ``n_bytes`` give the run in UTF-8 bytes.  ``first_doc_id`` is the smallest
     identifier of the documents that hold the run's first chunk.  ``kept`` is true where this
     document is first to hold every chunk of the run, so that nothing of it goes;
-    ``removed_bytes`` are its bytes that an earlier document holds.  Null and empty texts have no chunks.  Rows
+    ``removed_bytes`` are its bytes that an earlier document holds, and ``held`` the spans (start, n_bytes) of
+    neighbouring chunks that they form.  Null and empty texts have no chunks.  Rows
     that repeat an identifier count as one document.  Further columns are ignored.
     """
     if min_run <= MOST:
@@ -115,19 +116,24 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id
     found = c.join(twice.hint("shuffle_merge"), "digest").select("doc_id", "first_doc_id", F.shiftright("place", 8).alias("start"), F.col("place").bitwiseAND(255).alias("size")).distinct()
     w = Window.partitionBy("doc_id").orderBy("start")
     fresh = F.coalesce(F.lag(F.col("start") + F.col("size")).over(w) != F.col("start"), F.lit(True))
-    found = found.withColumn("run", F.sum(fresh.cast("int")).over(w))
-    runs = found.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.count("*").alias("n_chunks"),
-        F.sum(F.when(F.col("first_doc_id") < F.col("doc_id"), F.col("size")).otherwise(0)).alias("removed_bytes"),
+    earlier = F.col("first_doc_id") < F.col("doc_id")
+    turn = fresh | F.coalesce(F.lag(earlier).over(w) != earlier, F.lit(True))
+    found = found.withColumns({"run": F.sum(fresh.cast("int")).over(w), "part": F.sum(turn.cast("int")).over(w), "earlier": earlier})
+    # Parts of a run that an earlier document holds, or none does; then runs.  Both are dealt by document already.
+    parts = found.groupBy("doc_id", "run", "part", "earlier").agg(F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
+    runs = parts.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_chunks").alias("n_chunks"),
+        F.sum(F.when(F.col("earlier"), F.col("n_bytes")).otherwise(0)).alias("removed_bytes"),
         F.min_by("first_doc_id", "start").alias("first_doc_id"),
+        F.sort_array(F.collect_list(F.when(F.col("earlier"), F.struct("start", "n_bytes")))).alias("held"),
     )
-    return runs.where(F.col("n_bytes") >= min_run).select("doc_id", "start", "n_bytes", "n_chunks", "removed_bytes", "first_doc_id", (F.col("removed_bytes") == 0).alias("kept"))
+    return runs.where(F.col("n_bytes") >= min_run).select("doc_id", "start", "n_bytes", "n_chunks", "removed_bytes", "first_doc_id", (F.col("removed_bytes") == 0).alias("kept"), "held")
 
 
 def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with the runs removed that an earlier document holds whole."""
-    gone = repeated_runs(docs, min_run, id_col, text_col).where(F.col("removed_bytes") == F.col("n_bytes"))
-    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("gone"))  # as many as the text has
+    """(doc_id, text) without the spans that earlier documents hold: runs, or ``min_run`` bytes or more of a run."""
+    gone = repeated_runs(docs, min_run, id_col, text_col).select("doc_id", F.col("n_bytes").alias("whole"), F.explode("held").alias("h")).select("doc_id", "whole", "h.*")
+    gone = gone.where((F.col("n_bytes") >= min_run) | (F.col("n_bytes") == F.col("whole"))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("gone"))  # as many as the text has
     d = pick(docs, doc_id=id_col, text=text_col).join(gone, "doc_id", "left")
 
     def run(batches):

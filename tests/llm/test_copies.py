@@ -131,3 +131,13 @@ def test_substring_dedup_on_odd_rows(odd, empty):
     assert substring_dedup.repeated_runs(empty).count() == 0
     with pytest.raises(ValueError):
         substring_dedup.repeated_runs(odd, min_run=50)
+
+
+def test_what_an_earlier_document_holds_goes_though_the_rest_of_the_run_recurs_later(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("aeiouthnrsl") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    p, q = say(150), say(150)
+    docs = [(1, f"{say(20)} {p} {say(20)}"), (2, f"{say(20)} {p} {q} {say(20)}"), (3, f"{say(20)} {q} {say(20)}")]
+    rest = {r.doc_id: r.text for r in substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    middle = slice(len(p) // 4, len(p) // 2)
+    assert rest[1] == docs[0][1] and p[middle] not in rest[2] and q[middle] in rest[2] and q[middle] not in rest[3]
