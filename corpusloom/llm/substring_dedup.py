@@ -3,14 +3,16 @@
 A gear hash rolls over the UTF-8 bytes; it depends on the last 16 of them only, and a
 chunk ends where its top bits are zero.  Text put in before a passage shifts no
 boundary inside it.  Chunks are deduplicated by digest: a digest found in two
-documents or more belongs to the first of its places, and the others may go.  What is
-reported are runs of neighbouring repeated chunks of ``min_run`` bytes or more, so
-that a short line in common is no finding.
-
-A chunk is shorter than ``min_run``, so two digests at least must agree in a row.
-Only digests and positions are shuffled, never texts: once to find the repeated
-digests, with map-side aggregation, and once to look them up, by a join whose
-large keys can be split.
+documents or more belongs to the first of its places, and the others may go.
+
+Two repeated chunks in a row anchor a run.  A run is extended byte by byte at both ends
+against another document that holds its end chunk, then back to whole words.  What is reported are
+runs of ``min_run`` bytes of whole chunks, or of ``MIN_WORDS`` words as extended, so that a short line
+in common is no finding.
+
+Digests and positions are shuffled once to find the repeated digests, with map-side
+aggregation, and once to look them up, by a join whose large keys can be split.  Texts
+are shuffled once, to the anchors, and give only the bytes about them.
 """
 
 from __future__ import annotations
@@ -25,14 +27,17 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import pick, small_batches
 from corpusloom.llm.pieces import mixed, tidy
+from corpusloom.sources.scratch import staged
 
 #: Window of the gear hash in bytes, and bits that must be zero at a boundary.
 WINDOW, ZERO_BITS = 16, 4
 #: Bytes of a chunk; the mean is about LEAST + 2 ** ZERO_BITS.
 LEAST, MOST = 16, 96
-#: Repeated bytes in a row that count; larger than MOST.  A passage of 50 words, some 300 bytes, leaves so
-#: many in whole chunks, as up to a chunk is lost at either end.
-MIN_RUN = 180
+#: Bytes of whole repeated chunks in a row that count, larger than MOST, or else words of the extended run.
+MIN_RUN, MIN_WORDS = 180, 50
+#: Bytes about a chunk that are compared.  Behind it a chunk bounds them; before it the two texts' chunks may not agree yet.
+BEFORE, AFTER = 3 * MOST, MOST + 4
+WHITE = b" \t\n\v\f\r"
 
 
 @lru_cache(maxsize=1)
@@ -98,10 +103,89 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
+def whole_words(own: bytes, other: bytes, most: int) -> int:
+    """Bytes that both begin with, back to white space unless the word there ends in both; ``most`` are at hand."""
+    n, least = 0, min(len(own), len(other))
+    while n < least and own[n] == other[n]:
+        n += 1
+    if n < most and all(x[n : n + 1] in WHITE for x in (own, other)):  # both go on with white space, or end
+        return n
+    while n and own[n - 1] not in WHITE:
+        n -= 1
+    return n
+
+
+def _about(batches):
+    """Bytes before (backwards) and behind spans of a text, and about the first place of each digest asked for."""
+    digest = xxhash.xxh3_64_intdigest
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    for batch in batches:
+        index, rows = [], []
+        for k, (text, spans, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "asked")), strict=True)):
+            data = text.encode("utf-8", "surrogatepass")
+            for s in spans or ():
+                a, b = s["start"], s["start"] + s["n_bytes"]
+                if digest(data[a : a + s["size"]]) == s["digest"] & (1 << 64) - 1:  # another text may have this identifier
+                    torn = sum(0 < x < len(data) and data[x - 1] not in WHITE and data[x] not in WHITE for x in (a, b))
+                    rows.append((None, a, len(data[a:b].split()) - torn, data[max(0, a - BEFORE) : a][::-1], data[b : b + AFTER]))
+                    index.append(k)
+            left, start = {x & (1 << 64) - 1: x for x in asked or ()}, 0
+            for end in chunks(data) if left else ():
+                x = left.pop(digest(data[start:end]), None)
+                if x is not None:
+                    rows.append((x, None, None, data[max(0, start - BEFORE) : start][::-1], data[end : end + AFTER]))
+                    index.append(k)
+                start = end
+        columns = [*zip(*rows, strict=True)] or [[]] * 5
+        ids = batch.column("doc_id").take(pa.array(index, pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "digest", "at", "words", "before", "after"])
+
+
+def _stretched(batches):
+    """Runs with their start, bytes and words as extended; ``whole`` are the bytes of their chunks."""
+    for batch in batches:
+        start, size, words, held, removed = [], [], [], [], []
+        for spans, at, n, w, *sides in zip(*(batch.column(c).to_pylist() for c in ("held", "start", "whole", "words", "before", "after", "left_before", "right_after")), strict=True):
+            before, after, left, right = (x or b"" for x in sides)
+            a, b = whole_words(before, left, BEFORE), whole_words(after, right, AFTER)
+            for x in spans:
+                left_end, right_end = x["start"] == at, x["start"] + x["n_bytes"] == at + n
+                x["start"], x["n_bytes"] = x["start"] - a * left_end, x["n_bytes"] + a * left_end + b * right_end
+            held.append(spans)
+            removed.append(sum(x["n_bytes"] for x in spans))
+            start.append(at - a)
+            size.append(a + n + b)
+            words.append((w or 0) + len(before[:a].split()) + len(after[:b].split()))
+        found = {"start": pa.array(start, pa.int64()), "n_bytes": pa.array(size, pa.int64()), "words": pa.array(words, pa.int64()), "removed_bytes": pa.array(removed, pa.int64()), "held": pa.array(held, batch.column("held").type)}
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "n_chunks", "first_doc_id", "whole")} | found)
+
+
+def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` extended at both ends against the documents named in ``left`` and ``right``."""
+    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_bytes", "left.digest", "left.size")).alias("spans"))  # as many as the text has
+    asked = runs.select("left.other", "left.digest").union(runs.select("right.other", "right.digest")).distinct()
+    asked = asked.groupBy(F.col("other").alias("doc_id")).agg(F.collect_list("digest").alias("asked"))
+    schema = docs.select("doc_id").schema.add("digest", "long").add("at", "long").add("words", "long").add("before", "binary").add("after", "binary")
+    about = staged(docs.join(spans.join(asked, "doc_id", "full"), "doc_id").select("doc_id", "text", "spans", "asked").mapInArrow(tidy(_about), schema), "substring-about")
+    # Rows may repeat an identifier: one is taken.  Written, so that a join with a large key can be split.
+    side = about.where(F.col("digest").isNotNull()).groupBy("doc_id", "digest").agg(F.max(F.struct("before", "after")).alias("s"))
+    side = staged(side.select("doc_id", "digest", "s.*"), "substring-side")
+    own = about.where(F.col("digest").isNull()).groupBy("doc_id", F.col("at").alias("start")).agg(F.max(F.struct("words", "before", "after")).alias("s")).select("doc_id", "start", "s.*")
+    left = side.select(F.col("doc_id").alias("l_doc"), F.col("digest").alias("l_digest"), F.col("before").alias("left_before"))
+    right = side.select(F.col("doc_id").alias("r_doc"), F.col("digest").alias("r_digest"), F.col("after").alias("right_after"))
+    j = runs.withColumnRenamed("n_bytes", "whole").join(own, ["doc_id", "start"], "left")
+    j = j.join(left, (F.col("left.other") == F.col("l_doc")) & (F.col("left.digest") == F.col("l_digest")), "left")
+    j = j.join(right, (F.col("right.other") == F.col("r_doc")) & (F.col("right.digest") == F.col("r_digest")), "left")
+    keep = ["doc_id", "n_chunks", "first_doc_id", "whole"]
+    out = j.select(keep).schema.add("start", "long").add("n_bytes", "long").add("words", "long").add("removed_bytes", "long").add(j.schema["held"])
+    return j.select(*keep, "held", "start", "words", "before", "after", "left_before", "right_after").mapInArrow(tidy(_stretched), out)
+
+
 def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per run of repeated chunks: doc_id, start, n_bytes, n_chunks, removed_bytes, first_doc_id, kept, held.
 
-    ``start`` and ``n_bytes`` give the run in UTF-8 bytes.  ``first_doc_id`` is the smallest
+    ``start`` and ``n_bytes`` give the run in UTF-8 bytes, extended to the last whole word that both documents hold;
+    an extension goes with the chunk it continues, and may reach into the next run.  ``first_doc_id`` is the smallest
     identifier of the documents that hold the run's first chunk.  ``kept`` is true where this
     document is first to hold every chunk of the run, so that nothing of it goes;
     ``removed_bytes`` are its bytes that an earlier document holds, and ``held`` the spans (start, n_bytes) of
@@ -112,28 +196,34 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id
         raise ValueError(f"min_run must be over {MOST}, the longest chunk")
     d = small_batches(pick(docs, doc_id=id_col, text=text_col)).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     c = chunk_rows(d)
-    twice = c.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where(F.col("first_doc_id") < F.col("last")).drop("last")
-    found = c.join(twice.hint("shuffle_merge"), "digest").select("doc_id", "first_doc_id", F.shiftright("place", 8).alias("start"), F.col("place").bitwiseAND(255).alias("size")).distinct()
+    twice = c.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where(F.col("first_doc_id") < F.col("last"))
+    found = c.join(twice.hint("shuffle_merge"), "digest").select("doc_id", "first_doc_id", "last", "digest", F.shiftright("place", 8).alias("start"), F.col("place").bitwiseAND(255).alias("size")).distinct()
     w = Window.partitionBy("doc_id").orderBy("start")
     fresh = F.coalesce(F.lag(F.col("start") + F.col("size")).over(w) != F.col("start"), F.lit(True))
     earlier = F.col("first_doc_id") < F.col("doc_id")
     turn = fresh | F.coalesce(F.lag(earlier).over(w) != earlier, F.lit(True))
     found = found.withColumns({"run": F.sum(fresh.cast("int")).over(w), "part": F.sum(turn.cast("int")).over(w), "earlier": earlier})
     # Parts of a run that an earlier document holds, or none does; then runs.  Both are dealt by document already.
-    parts = found.groupBy("doc_id", "run", "part", "earlier").agg(F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
+    end = F.struct("digest", F.when(F.col("earlier"), F.col("first_doc_id")).otherwise(F.col("last")).alias("other"), "size")
+    parts = found.groupBy("doc_id", "run", "part", "earlier").agg(
+        F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min_by("first_doc_id", "start").alias("first_doc_id"),
+        F.min_by(end, "start").alias("left"), F.max_by(end, "start").alias("right"),
+    )
     runs = parts.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_chunks").alias("n_chunks"),
         F.sum(F.when(F.col("earlier"), F.col("n_bytes")).otherwise(0)).alias("removed_bytes"),
         F.min_by("first_doc_id", "start").alias("first_doc_id"),
         F.sort_array(F.collect_list(F.when(F.col("earlier"), F.struct("start", "n_bytes")))).alias("held"),
-    )
-    return runs.where(F.col("n_bytes") >= min_run).select("doc_id", "start", "n_bytes", "n_chunks", "removed_bytes", "first_doc_id", (F.col("removed_bytes") == 0).alias("kept"), "held")
+        F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"),
+    ).where("n_chunks > 1").drop("run")
+    runs = extended(d, staged(runs, "substring-runs"))
+    return runs.where((F.col("whole") >= min_run) | (F.col("words") >= MIN_WORDS)).select("doc_id", "start", "n_bytes", "n_chunks", "removed_bytes", "first_doc_id", (F.col("removed_bytes") == 0).alias("kept"), "held")
 
 
 def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) without the spans that earlier documents hold: runs, or ``min_run`` bytes or more of a run."""
-    gone = repeated_runs(docs, min_run, id_col, text_col).select("doc_id", F.col("n_bytes").alias("whole"), F.explode("held").alias("h")).select("doc_id", "whole", "h.*")
-    gone = gone.where((F.col("n_bytes") >= min_run) | (F.col("n_bytes") == F.col("whole"))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("gone"))  # as many as the text has
+    gone = repeated_runs(docs, min_run, id_col, text_col).select("doc_id", F.col("n_bytes").alias("all"), F.explode("held").alias("h")).select("doc_id", "all", "h.*")
+    gone = gone.where((F.col("n_bytes") >= min_run) | (F.col("n_bytes") == F.col("all"))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("gone"))  # as many as the text has
     d = pick(docs, doc_id=id_col, text=text_col).join(gone, "doc_id", "left")
 
     def run(batches):
@@ -144,7 +234,7 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_
                     data, kept, at = text.encode(), [], 0
                     for s in spans:
                         kept.append(data[at : s["start"]])
-                        at = s["start"] + s["n_bytes"]
+                        at = max(at, s["start"] + s["n_bytes"])
                     text = b"".join([*kept, data[at:]]).decode()
                 out.append(text)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(out, pa.string())})

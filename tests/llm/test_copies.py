@@ -141,3 +141,19 @@ def test_what_an_earlier_document_holds_goes_though_the_rest_of_the_run_recurs_l
     rest = {r.doc_id: r.text for r in substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     middle = slice(len(p) // 4, len(p) // 2)
     assert rest[1] == docs[0][1] and p[middle] not in rest[2] and q[middle] in rest[2] and q[middle] not in rest[3]
+
+
+def test_passages_of_50_short_words_are_found_to_their_ends(spark):
+    rng = random.Random(4)
+    say = lambda n, low=3, high=3: " ".join("".join(rng.choice("aeiouthnrsl") for _ in range(rng.randint(low, high))) for _ in range(n))
+    docs, planted = [], {}
+    for k in range(40):
+        p = say(51)
+        for i in (2 * k, 2 * k + 1):
+            docs.append((i, f"{say(40, 2, 9)} {p} {say(40, 2, 9)}"))
+            planted[i] = p
+    docs += [(100 + i, f"{say(40, 2, 9)} {line} {say(40, 2, 9)}") for line in (say(30), say(35)) for i in range(2)]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.repeated_runs(df).collect()}
+    assert set(got) == set(planted)
+    assert all(planted[i] in docs[i][1].encode()[r.start : r.start + r.n_bytes].decode() for i, r in got.items())
