@@ -14,28 +14,29 @@ distinct entities are checked, those that collide draw again, until none does.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import pick
+from corpusloom.llm.given_names import KNOWN, one_of
 from corpusloom.sources.scratch import staged
 
-#: Titles by gender, and given names by script and gender.
+#: Titles by gender.
 TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа", "г-жа"], "x": ["Dr", "Prof"]}
-GIVEN = {
-    ("latin", "m"): ["Adrian", "Bruno", "Daniel", "Erik", "Felix", "Hugo", "Jonas", "Leon", "Marco", "Oscar", "Simon", "Victor"],
-    ("latin", "f"): ["Alma", "Bianca", "Clara", "Diana", "Elena", "Freya", "Ingrid", "Julia", "Laura", "Nora", "Sofia", "Vera"],
-    ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Игорь", "Лев", "Олег", "Павел", "Роман"],
-    ("cyrillic", "f"): ["Алла", "Вера", "Дарья", "Елена", "Инна", "Лидия", "Мария", "Нина", "Ольга", "Юлия"],
-}
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "ro", "sa", "te", "vi", "wo", "lan", "mer"],
     "cyrillic": ["ба", "ве", "ги", "до", "жа", "за", "ки", "ло", "ма", "не", "по", "ра", "си", "то", "фе", "хо"],
 }
-SYLLABLES_IN_NAME = 6
+SYLLABLES_IN_NAME, SYLLABLES_IN_GIVEN = 6, 3
+#: Ends of replaced given names by script and gender; names of different genders end in different letters.
+ENDS = {("latin", "m"): ["on", "us", "or", "ek"], ("latin", "f"): ["na", "ra", "ia", "elle"], ("cyrillic", "m"): ["он", "ор", "ам", "ей"], ("cyrillic", "f"): ["на", "ра", "ия", "ля"]}
+#: The given names of a first draw; later draws are longer.
+GIVEN = {k: ["".join(x).capitalize() for x in product(*[SYLLABLES[k[0]]] * SYLLABLES_IN_GIVEN, ends)] for k, ends in ENDS.items()}
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _titles = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_given = "|".join(n for names in GIVEN.values() for n in names)
+_given = one_of(sorted({n for names in KNOWN.values() for n in names}))
 #: Kinds in order of precedence; none has a capturing group or matches empty text.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -57,13 +58,18 @@ def kind_of(entity: Column) -> Column:
     for kind, p in KINDS.items():
         test = entity.rlike(f"^(?:{p})$")
         out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out.otherwise("secret")
+    return out.when(entity.rlike(rf"^(?:{_NAME} )?{_NAME}$"), "person").otherwise("secret")  # a later mention
+
+
+def _last(person: Column) -> Column:
+    """The surname, without a genitive."""
+    return F.regexp_extract(person, r"([^ ]+?)(?:['’]s)?$", 1)
 
 
 def canonical(kind: Column, entity: Column) -> Column:
     """What all writings of one entity share; a person is its surname, as given names and titles come and go."""
     plain = F.lower(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
-    return F.when(kind == "person", F.lower(F.regexp_extract(entity, r"([^ ]+)$", 1))).when(kind.isin("ip", "email"), F.lower(entity)).otherwise(plain)
+    return F.when(kind == "person", F.lower(_last(entity))).when(kind.isin("ip", "email"), F.lower(entity)).otherwise(plain)
 
 
 def _digest(key: str, kind: Column, name: Column, attempt: Column, n: int) -> Column:
@@ -105,6 +111,20 @@ def _surname(key: str, name: Column, attempt: Column, script: str) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SYLLABLES_IN_NAME - 1)), lambda i: F.get(pool, (_number(d, i * 4 + 1) % len(SYLLABLES[script])).cast("int"))), "")
 
 
+def _drawn_given(key: str, name: Column, attempt: Column) -> Column:
+    """A made-up given name of the gender and script that end ``name``; a later attempt has more syllables, so that draws can't run out."""
+    d = _digest(key, F.lit("given"), name, attempt, 0)
+
+    def of(script: str, sex: str) -> Column:
+        pool, ends = F.array(*map(F.lit, SYLLABLES[script])), F.array(*map(F.lit, ENDS[script, sex]))
+        n = F.lit(SYLLABLES_IN_GIVEN - 1) + F.least(attempt.cast("int"), F.lit(8))
+        body = F.transform(F.sequence(F.lit(0), n), lambda i: F.get(pool, (_number(d, i * 4 + 5) % len(SYLLABLES[script])).cast("int")))
+        return F.concat(F.array_join(body, ""), F.get(ends, (_number(d, F.lit(1)) % len(ENDS[script, sex])).cast("int")))
+
+    code = F.get(F.split(name, r"\|"), F.lit(2))
+    return F.when(code == "cyrillic-f", of("cyrillic", "f")).when(code == "cyrillic-m", of("cyrillic", "m")).when(code == "latin-f", of("latin", "f")).otherwise(of("latin", "m"))
+
+
 def replacement(kind: Column, name: Column, attempt: Column, key: str) -> Column:
     """The replacement of a canonical entity, in canonical form."""
     label = F.regexp_extract(name, r"^(akia|password|passwd|secret|token|apikey)", 1)
@@ -118,8 +138,9 @@ def replacement(kind: Column, name: Column, attempt: Column, key: str) -> Column
     card = F.when(real, F.concat(body, ((10 - _luhn_sum(body) % 10) % 10).cast("string"))).otherwise(F.concat(F.substr(name, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2), F.length(drawn))))
     iban = F.concat(F.substr(name, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3), F.length(drawn)))
     secret = F.concat(label, F.substr(drawn, F.length(label) + 1, F.length(drawn)))
+    given = F.concat_ws("|", F.get(F.split(name, r"\|"), F.lit(0)), _drawn_given(key, name, attempt), F.get(F.split(name, r"\|"), F.lit(2)))
     person = F.when(name.rlike(r"\p{IsCyrillic}"), _surname(key, name, attempt, "cyrillic")).otherwise(_surname(key, name, attempt, "latin"))
-    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "person", person).otherwise(drawn)
+    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "person", person).when(kind == "given", given).otherwise(drawn)
 
 
 def _woven(entity: Column, drawn: Column) -> Column:
@@ -135,35 +156,41 @@ def _woven(entity: Column, drawn: Column) -> Column:
     return F.aggregate(F.split(entity, ""), start, one, lambda a: a["out"])
 
 
-def _person(entity: Column, surname: Column, key: str) -> Column:
-    """Title, a given name of the same gender and script if there is one, and the new surname in the old one's case."""
-    words = F.split(entity, " ")
-    title = F.regexp_extract(entity, rf"^(?:{_titles})\.?(?= )", 0)
-    rest = F.filter(words, lambda w: w != title)
-    given = F.when(F.size(rest) > 1, F.get(rest, F.lit(0)))
-    bare = F.regexp_replace(title, r"\.$", "")
-    known = {g: [n for (_, sex), names in GIVEN.items() if sex == g for n in names] for g in "mf"}
-    female = bare.isin(TITLES["f"]) | (~bare.isin(TITLES["m"]) & (given.isin(known["f"]) | (~given.isin(known["m"]) & given.rlike("[aаяе]$"))))
-    cyrillic = entity.rlike(r"\p{IsCyrillic}")
+def _title(person: Column) -> Column:
+    return F.regexp_extract(person, rf"^(?:{_titles})\.?(?= )", 0)
+
 
-    def drawn(names: list[str]) -> Column:
-        return F.get(F.array(*map(F.lit, names)), (_number(_digest(key, F.lit("given"), F.lower(given), F.lit(0), 0), F.lit(1)) % len(names)).cast("int"))
+def _given_of(person: Column) -> Column:
+    """The given name as written, or null."""
+    rest = F.split(F.trim(F.substr(person, F.length(_title(person)) + 1, F.length(person))), " ")
+    return F.when(F.size(rest) > 1, F.get(rest, F.lit(0)))
 
-    def of(script: str) -> Column:
-        return F.when(F.coalesce(female, F.lit(False)), drawn(GIVEN[script, "f"])).otherwise(drawn(GIVEN[script, "m"]))
 
-    last = F.element_at(words, -1)
-    new = F.when((F.upper(last) == last) & (F.length(last) > 1), F.upper(surname)).otherwise(F.initcap(surname))
-    first = F.when(given.isNull(), F.lit(None)).when(cyrillic, of("cyrillic")).otherwise(of("latin"))
-    return F.concat_ws(" ", F.when(title != "", title), first, new)
+def given_name(person: Column) -> Column:
+    """Surname, given name, script and gender of a person as an entity of its own; null without given name."""
+    given, bare = _given_of(person), F.regexp_replace(_title(person), r"\.$", "")
+    female = bare.isin(TITLES["f"]) | (~bare.isin(TITLES["m"]) & (given.isin(KNOWN["f"]) & ~given.isin(KNOWN["m"]) | (~given.isin(KNOWN["m"]) & given.rlike("[aаяе]$"))))
+    script = F.when(person.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return F.when(given.isNotNull(), F.concat(F.lower(_last(person)), F.lit("|"), F.lower(given), F.lit("|"), script, F.when(female, "-f").otherwise("-m")))
 
 
-def surrogate(entity: Column, kind: Column, drawn: Column, key: str) -> Column:
+def _person(entity: Column, surname: Column, given: Column) -> Column:
+    """Title, the new given name if there is one, and the new surname in the old one's case; a given name alone stays one."""
+    title, last = _title(entity), _last(entity)
+    upper = (F.upper(last) == last) & (F.length(last) > 1)
+    new = F.when(upper, F.upper(surname)).otherwise(F.initcap(surname))
+    first = F.initcap(F.get(F.split(given, r"\|"), F.lit(1)))
+    alone = (title == "") & ~F.contains(entity, F.lit(" ")) & given.isNotNull()
+    tail = F.regexp_extract(entity, r"['’]s$", 0)
+    return F.when(alone, F.when(upper, F.upper(first)).otherwise(first)).otherwise(F.concat(F.concat_ws(" ", F.when(title != "", title), first, new), tail))
+
+
+def surrogate(entity: Column, kind: Column, drawn: Column, given: Column) -> Column:
     """The replacement in the form of the entity found."""
     country = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
     phone = F.concat(country, F.substr(_woven(entity, drawn), F.length(country) + 1, F.length(entity)))
     address = F.array_join(F.zip_with(F.split(entity, ""), F.split(drawn, ""), lambda c, x: F.when((F.lower(c) != c), F.upper(x)).otherwise(x)), "")
-    return F.when(kind == "ip", drawn).when(kind == "email", address).when(kind == "phone", phone).when(kind == "person", _person(entity, drawn, key)).otherwise(_woven(entity, drawn))
+    return F.when(kind == "ip", drawn).when(kind == "email", address).when(kind == "phone", phone).when(kind == "person", _person(entity, drawn, given)).otherwise(_woven(entity, drawn))
 
 
 def has_entity(text: Column) -> Column:
@@ -172,18 +199,52 @@ def has_entity(text: Column) -> Column:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, entities) of the texts with entities; entities: array of (entity, kind, name)."""
+    """(doc_id, text, also, entities) of the texts with entities; entities: array of (entity, kind, name, given).
+
+    ``also`` is the pattern of later mentions of the text's persons, null without any.
+    """
     some = docs.where(has_entity(F.col("text"))).withColumn("all", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    whole = F.filter("all", lambda e: e.rlike(rf"^(?:{KINDS['person']})$") & ~e.contains("@"))
+    people = F.transform(whole, lambda e: F.struct(_last(e).alias("last"), _given_of(e).alias("first"), given_name(e).alias("given"), _title(e).isin([t + x for t in TITLES["m"] + TITLES["f"] for x in ("", ".")]).alias("sure")))
+    some = some.withColumn("people", people)
+    # The gender that a title tells goes before one that is guessed.
+    some = some.withColumn("people", F.concat(F.filter("people", lambda p: p["sure"]), F.filter("people", lambda p: ~p["sure"])))
+    last = F.array_distinct(F.flatten(F.transform("people", lambda p: F.array(p["last"], F.initcap(p["last"]), F.upper(p["last"])))))
+    first = F.array_distinct(F.flatten(F.transform(F.filter("people", lambda p: p["first"].isNotNull()), lambda p: F.array(p["first"], F.upper(p["first"])))))
+    lasts, firsts = F.array_join(last, "|"), F.when(F.size(first) > 0, F.array_join(first, "|")).otherwise(F.lit("(?!)"))
+    also = F.concat(F.lit(r"|(?<![\p{L}\d])(?:(?:(?:"), firsts, F.lit(") )?(?:"), lasts, F.lit(")|(?:"), firsts, F.lit(r"))(?!\p{L})"))
+    some = some.withColumn("also", F.when(F.size("people") > 0, also))
+    some = some.withColumn("all", F.when(F.col("also").isNull(), F.col("all")).otherwise(F.regexp_extract_all("text", F.concat(F.lit(PATTERN), "also"), F.lit(0))))
 
     def one(e: Column) -> Column:
-        return F.struct(e.alias("entity"), kind_of(e).alias("kind"), canonical(kind_of(e), e).alias("name"))
+        kind = kind_of(e)
+        return F.struct(e.alias("entity"), kind.alias("kind"), canonical(kind, e).alias("name"), F.when(kind == "person", given_name(e)).alias("given"))
+
+    def known(e: Column) -> Column:
+        """A person's given name as the text tells its gender; a given name alone belongs to the first who has it."""
+        same = F.filter("people", lambda p: F.substring_index(p["given"], "|", 2) == F.substring_index(e["given"], "|", 2))
+        bare = F.filter("people", lambda p: F.lower(p["first"]) == F.lower(e["entity"]))
+        alone = (e["kind"] == "person") & ~F.contains(e["entity"], F.lit(" ")) & ~F.exists("people", lambda p: F.lower(p["last"]) == e["name"]) & (F.size(bare) > 0)
+        owner = F.get(bare, F.lit(0))
+        return F.struct(
+            e["entity"].alias("entity"), e["kind"].alias("kind"), F.when(alone, F.lower(owner["last"])).otherwise(e["name"]).alias("name"),
+            F.when(alone, owner["given"]).otherwise(F.coalesce(F.get(same, F.lit(0))["given"], e["given"])).alias("given"),
+        )
 
-    return some.select("doc_id", "text", F.transform("all", one).alias("entities"))
+    some = some.withColumn("entities", F.transform("all", one))
+    return some.select("doc_id", "text", "also", F.when(F.col("also").isNull(), F.col("entities")).otherwise(F.transform("entities", known)).alias("entities"))
+
+
+def _names(entities: Column) -> Column:
+    """What is replaced as a whole, by position; the given name of the entity at i stands at -1 - i."""
+    own = F.transform(entities, lambda e, i: F.struct(i.alias("i"), e["kind"].alias("kind"), e["name"].alias("name")))
+    given = F.transform(entities, lambda e, i: F.struct((-1 - i).alias("i"), F.lit("given").alias("kind"), e["given"].alias("name")))
+    return F.concat(own, F.filter(given, lambda e: e["name"].isNotNull()))
 
 
 def _attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, name, attempt) of the entities whose first draw collides: usually none."""
-    names = staged(found.select(F.explode("entities").alias("e")).select("e.kind", "e.name").distinct(), "pii-names")
+    names = staged(found.select(F.explode(_names(F.col("entities"))).alias("e")).select("e.kind", "e.name").distinct(), "pii-names")
     drawn = lambda df: df.withColumn("drawn", replacement(F.col("kind"), F.col("name"), F.col("attempt"), key))
     current = staged(drawn(names.withColumn("attempt", F.lit(0))), "pii-drawn")
     while True:
@@ -207,14 +268,19 @@ def replaced(docs: DataFrame, key: str = "corpusloom", id_col: str = "doc_id", t
     found = staged(_found(pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))), "pii-found")
     redrawn = _attempts(found, key)
     if redrawn.isEmpty():
-        first = found.withColumn("tries", F.transform("entities", lambda e: F.lit(0)))
+        first = found.withColumn("tries", F.transform("entities", lambda e: F.struct(F.lit(0).alias("own"), F.lit(0).alias("given"))))
     else:  # only rows with such an entity are joined, by a key of the row
         rows = staged(found.withColumn("row", F.monotonically_increasing_id()), "pii-rows")
-        e = rows.select("row", F.posexplode("entities").alias("i", "e")).select("row", "i", "e.kind", "e.name")
+        e = rows.select("row", F.explode(_names(F.col("entities"))).alias("e")).select("row", "e.i", "e.kind", "e.name")
         tries = e.join(redrawn, ["kind", "name"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", "attempt"))).alias("m"))
-        first = rows.join(tries, "row", "left").withColumn("tries", F.transform("entities", lambda e, i: F.coalesce(F.try_element_at("m", i), F.lit(0)))).drop("row", "m")
-    new = F.transform(F.arrays_zip("entities", "tries"), lambda z: surrogate(z["entities"]["entity"], z["entities"]["kind"], replacement(z["entities"]["kind"], z["entities"]["name"], z["tries"], key), key))
-    rest = F.split("text", PATTERN, -1)
+        first = rows.join(tries, "row", "left").withColumn("tries", F.transform("entities", lambda e, i: F.struct(F.coalesce(F.try_element_at("m", i), F.lit(0)).alias("own"), F.coalesce(F.try_element_at("m", -1 - i), F.lit(0)).alias("given")))).drop("row", "m")
+
+    def drawn(e: Column, tries: Column) -> Column:
+        given = F.when(e["given"].isNotNull(), replacement(F.lit("given"), e["given"], tries["given"], key))
+        return surrogate(e["entity"], e["kind"], replacement(e["kind"], e["name"], tries["own"], key), given)
+
+    new = F.transform(F.arrays_zip("entities", "tries"), lambda z: drawn(z["entities"], z["tries"]))
+    rest = F.split("text", F.concat(F.lit(PATTERN), F.coalesce("also", F.lit(""))), -1)
     joined = F.array_join(F.flatten(F.zip_with(rest, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     kinds = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"])))
     return first.select("doc_id", joined.alias("text"), F.size("entities").cast("long").alias("n_entities"), F.array_join(kinds, ",").alias("kinds"))

@@ -180,3 +180,20 @@ def test_every_entity_shows_the_sign(spark):
     assert {r.doc_id for r in pii.replaced(df).collect()} == set(range(len(texts) - 1))
     whole = {r.doc_id: r.text for r in pii.surrogate_documents(df).collect()}
     assert len(whole) == df.count() and "AKIAABCD" not in whole[0] and "abcdefabcdef" not in whole[1] and whole[11] == "no entity"
+
+
+def test_persons_of_one_surname_stay_distinct(spark):
+    firsts = pii.KNOWN["f"][:60]
+    df = spark.createDataFrame([(i, f"Frau {n} Schmidt") for i, n in enumerate(firsts)], "doc_id long, text string")
+    got = [r.text.split() for r in pii.replaced(df).collect()]
+    assert len({tuple(t) for t in got}) == len(firsts) and len({t[2] for t in got}) == 1 and not {t[1] for t in got} & {*firsts}
+
+
+def test_persons_without_title_and_later_mentions_are_replaced(spark):
+    texts = ["John Smith called Mary Jones.", "Mr. Xaver Smith said so. Xaver Smith left; Smith's car, SMITH and Xaver stay. Frau Wu met Blacksmith Smithson."]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replaced(df).collect()}
+    assert got[0].n_entities == 2 and not {*"John Smith Mary Jones.".split()} & {*got[0].text.split()}
+    w = got[1].text.replace("'s", "").split()
+    assert w[0] == "Mr." and w[1] == w[5] == w[12] and w[2] == w[6] == w[8] and w[10] == w[2].upper() and w[-2:] == texts[1].split()[-2:]
+    assert "Xaver" not in w and "Smith" not in w and "'s car" in got[1].text
