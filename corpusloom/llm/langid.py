@@ -22,24 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import fold, pick, small_batches
-from corpusloom.llm.pieces import give_back, letter_table, mixed, slices, tidy
+from corpusloom.llm.common import column, fold, pick, small_batches
+from corpusloom.llm.pieces import NO_LETTER, give_back, letter_table, mixed, slices, tidy
+from corpusloom.sources.scratch import staged
 
 SLOTS, HASHES = 1 << 19, 3
 SHARE, LEAST = 0.2, 2e-6
 ORDERS = (2, 3)
-#: The filters are fitted on about so many labelled documents, drawn by a hash of the identifier.
-TRAIN_DOCS = 12_000
+#: The filters are fitted on about so many labelled documents of each language, drawn by a hash of the identifier, and
+#: on those n-grams of a language that make up this share of its sample at least, so what comes to the driver is bounded.
+TRAIN_DOCS, LEAST_COUNTED = 3_000, 1e-6
 UNKNOWN = "und"
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-grams, first position of each text, letters of each text), lower-cased.
+    """(characters, first position of each text, letters of each text).
 
     Code points are packed 21 bits each, so n-grams are exact; a run of non-letters is one
-    boundary.  An n-gram holds a letter at least.  Each text begins with a boundary.
+    boundary.  An n-gram holds a letter at least.  Each text is given lower-cased, and begins and ends with a boundary.
     """
-    low = [" " + t.lower() for t in texts]
+    low = [f" {t} " for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.zeros(len(low) + 1, np.int64)
     np.cumsum([*map(len, low)], out=starts[1:])
@@ -53,17 +55,19 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, at, letters
 
 
-def orders(x: np.ndarray):
-    """The n-grams that end at each position, per order; 0 where there is none."""
+def orders(x: np.ndarray, at: np.ndarray):
+    """The n-grams that end at each position, per order; 0 where there is none, as where texts begin (``at``)."""
     s = np.uint64(21)
+    inside = np.ones(len(x), bool)
+    inside[at[:-1]] = False
     two = np.zeros_like(x)
     two[1:] = (x[:-1] << s) | x[1:]
     three = np.zeros_like(x)
     three[2:] = (x[:-2] << np.uint64(42)) | two[2:]
     inner = np.zeros(len(x), bool)
     inner[1:] = x[:-1] != 0  # a boundary in the middle belongs to two words
-    yield two | np.where(two != 0, np.uint64(1) << np.uint64(63), np.uint64(0))
-    yield np.where(inner, three, np.uint64(0))
+    yield np.where(inside & (two != 0), two | np.uint64(1) << np.uint64(63), np.uint64(0))
+    yield np.where(inside & inner, three, np.uint64(0))
 
 
 @dataclass(frozen=True)
@@ -75,9 +79,13 @@ class Filters:
     false_rate: np.ndarray
 
     @staticmethod
-    def build(rows: list[tuple[str, int, int]]) -> Filters:
-        """From (lang, n-gram, count)."""
-        langs = tuple(sorted({r[0] for r in rows}))
+    def build(rows: list[tuple[str, int, int]], totals: dict[str, int] | None = None) -> Filters:
+        """From (lang, n-gram, count) and the number of n-grams of each language, by default that of the rows."""
+        if totals is None:
+            totals = {}
+            for lang, _, n in rows:
+                totals[lang] = totals.get(lang, 0) + n
+        langs = tuple(sorted(totals))
         if not langs:
             return Filters((), np.zeros((1, SLOTS), np.uint8), np.zeros(0))
         number = {x: k for k, x in enumerate(langs)}
@@ -85,7 +93,7 @@ class Filters:
         gram, where = np.unique(np.array([r[1] for r in rows], np.int64).view(np.uint64), return_inverse=True)
         rate = np.zeros((len(langs), len(gram)))
         np.add.at(rate, (lang, where), [r[2] for r in rows])
-        rate /= rate.sum(axis=1, keepdims=True)
+        rate /= np.array([totals[x] for x in langs], float)[:, None]
         held = (rate >= SHARE * rate.max(axis=0)) & (rate >= LEAST)
         kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint32 if len(langs) <= 32 else np.uint64
         planes = np.zeros(((len(langs) + 63) // 64, SLOTS), kind)
@@ -108,7 +116,7 @@ class Filters:
         x, at, letters = grams(texts)
         n = np.zeros(len(texts), np.int64)
         hits = np.zeros((len(texts), len(self.langs)), np.int64)
-        for gram in orders(x):
+        for gram in orders(x, at):
             real = gram != 0
             n += np.add.reduceat(real, at[:-1], dtype=np.int64)
             for plane in range(len(self.planes)):
@@ -122,7 +130,7 @@ class Filters:
         n = np.zeros(len(texts), np.int64)
         letters = np.zeros(len(texts), np.int64)
         hits = np.zeros((len(texts), max(1, len(self.langs))), np.int64)
-        for index, part in slices(texts):
+        for index, part in slices([t.lower() for t in texts], cut=NO_LETTER):
             a, b, c = self.counts(part)
             np.add.at(n, index, a)
             np.add.at(letters, index, b)
@@ -149,9 +157,9 @@ def _count(batches):
         texts, lang = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         total: dict[str, list[np.ndarray]] = {}
         for name in sorted(set(lang)):
-            for _, part in slices([t for t, x in zip(texts, lang, strict=True) if x == name]):
-                x, _, _ = grams(part)
-                for gram in orders(x):
+            for _, part in slices([t.lower() for t, x in zip(texts, lang, strict=True) if x == name], cut=NO_LETTER):
+                x, at, _ = grams(part)
+                for gram in orders(x, at):
                     g, n = np.unique(gram[gram != 0], return_counts=True)
                     total.setdefault(name, []).append(np.stack([g, n.astype(np.uint64)]))
         for name, parts in total.items():
@@ -164,15 +172,23 @@ def _count(batches):
 def fit(labelled: DataFrame, most: int = TRAIN_DOCS) -> Filters:
     """Filters from (doc_id, text, lang); rows whose text or lang is null teach nothing.
 
-    About ``most`` rows are used, those whose identifier's hash is least; n-gram counts of
-    these are what comes to the driver.
+    About ``most`` rows of each language are used, those whose identifier's hash is least, so a rare language is used
+    whole.  N-grams are counted by the executors; those too rare to be in a filter (``LEAST``) don't come to the driver,
+    so a language sends 1 / ``LEAST_COUNTED`` counts an order at most.
     """
-    total = labelled.where(F.col("lang").isNotNull()).count()
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    if total > most:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / total))
-    counts = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(tidy(_count), "lang string, gram long, n long")
-    return Filters.build([tuple(r) for r in counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()])
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rates = rows.groupBy("lang").agg(F.count("*").alias("rows")).select("lang", F.least(F.lit(1.0), F.lit(float(most)) / F.col("rows")).alias("rate"))
+    cut = rates.where("rate < 1").collect()  # a row per frequent language
+    if cut:
+        rate = F.coalesce(F.create_map(*[F.lit(x) for r in cut for x in (r.lang, r.rate)])[F.col("lang")], F.lit(1.0))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
+    counts = rows.select("text", "lang").mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "langid-counts")
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        return Filters.build([], {})
+    least = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, int(LEAST_COUNTED * n))])[F.col("lang")]
+    return Filters.build([tuple(r) for r in counts.where(F.col("n") >= least).collect()], totals)
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -201,7 +217,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     ``lang_pred`` is ``und`` with score 0 for a text that is null or has no letter, and for all texts if
-    nothing could be learned.  Repeated rows give repeated results; further columns are ignored.
+    nothing could be learned.  Texts of any length are judged whole; an empty table gives an empty result.  Repeated
+    rows give repeated results; further columns are ignored.
     """
     filters = fit(training_rows(docs, id_col, text_col, lang_col))
     d = pick(docs, doc_id=id_col, text=text_col)
@@ -211,7 +228,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def known_language(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with a score of ``least`` at least."""
+    """The rows of ``docs`` whose text has a language, with a score of ``least`` at least; all columns stay.
+
+    Null and empty texts, and texts without a letter, go.  Texts of any length are judged whole.  Repeated rows stay or
+    go together.  From an empty table, or where nothing can be learned, no row stays.
+    """
     filters = fit(training_rows(docs, id_col, text_col, lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -223,5 +244,7 @@ def known_language(docs: DataFrame, least: float, id_col: str = "doc_id", text_c
         give_back()
 
     # Only texts go to Python; the rows wait in the JVM.
-    p = predicted(docs[text_col].cast("string"))
-    return docs.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    p = predicted(F.col(f"c{column(docs, text_col)}").cast("string"))
+    return plain.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least)).toDF(*names)

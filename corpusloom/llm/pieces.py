@@ -12,8 +12,8 @@ import pyarrow as pa
 
 #: Characters or bytes that are worked on at once; longer texts are cut.
 SLICE = 1 << 18
-#: What separates words, as in ``common.WORD``.
-WHITE = re.compile(r"[\x20\x09-\x0D]")
+#: Where a text may be cut: at white space, as in ``common.WORD``, or at any character that is no letter.
+WHITE, NO_LETTER = re.compile(r"[\x20\x09-\x0D]"), re.compile(r"[\W\d_]")
 
 
 @lru_cache(maxsize=1)
@@ -22,27 +22,27 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def slices(texts: list[str], most: int = SLICE, whole_words: bool = False) -> Iterator[tuple[list[int], list[str]]]:
+def slices(texts: list[str], most: int = SLICE, cut: re.Pattern = WHITE) -> Iterator[tuple[list[int], list[str]]]:
     """Index and text of pieces, in slices of about ``most`` characters.
 
-    A text longer than that is cut behind white space; where there is none near, anywhere, or
-    with ``whole_words`` behind the next.
+    A longer text is cut behind matches of ``cut``, the first in the second half of each slice or behind it.  Where there is
+    none the text stays whole, as a cut anywhere else would change what is found.
     """
     index: list[int] = []
     out: list[str] = []
     total = 0
     for k, text in enumerate(texts):
-        while len(text) > most:
-            space = WHITE.search(text, most // 2)
-            at = space.end() if space and (whole_words or space.end() <= most) else len(text) if whole_words else most
-            yield [k], [text[:at]]
-            text = text[at:]
-        if total + len(text) > most and out:
+        start = 0
+        while len(text) - start > most and (found := cut.search(text, start + most // 2)) is not None and found.end() < len(text):
+            yield [k], [text[start : found.end()]]
+            start = found.end()
+        rest = text[start:] if start else text
+        if total + len(rest) > most and out:
             yield index, out
             index, out, total = [], [], 0
         index.append(k)
-        out.append(text)
-        total += len(text)
+        out.append(rest)
+        total += len(rest)
     if out:
         yield index, out
 

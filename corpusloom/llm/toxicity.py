@@ -6,8 +6,9 @@ letters, and Viterbi decoding under a character trigram model finds the likelies
 original; elsewhere the lattice has one path and the text stands.  The restored text is
 scored by the words, and beginnings of words, that tell toxic from other documents.
 
-The character model counts all documents (a table of fixed size); the words are
-learned from a bounded sample of labelled rows.
+Decoding is exact and spans may be of any length: no state is dropped.  Where nearly all of a word are look-alikes, the
+character model decides whether it is one.  The character model counts all documents (a table of fixed size); the words are
+learned from a bounded sample of labelled rows, drawn per label so that a rare one is used whole.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold, pick, small_batches
-from corpusloom.llm.pieces import letter_table, mixed, prefix_sums, slices, tidy
+from corpusloom.llm.pieces import NO_LETTER, letter_table, mixed, prefix_sums, slices, tidy
 
 #: Characters that stand for letters.
 LOOKALIKES = {"4": "a", "@": "a", "3": "e", "€": "e", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z"}
@@ -31,14 +34,20 @@ SEPARATORS = " .-_*"
 ALPHABET = 28  # a boundary, a to z, any other letter
 #: Natural logs of the channel's probabilities: a look-alike used, or meant as it is; a separator or a repeated letter put in.
 SWAP, LITERAL, SEPARATE, BREAK, REPEAT, TWICE = -1.0, -14.0, -0.3, -6.0, -0.3, -1.5
-LONGEST_SPAN, LONGEST_SWAPPED = 64, 24
-SWAPPED = re.compile(rf"(?<=[^\W\d_])[{re.escape(MARKS)}]|[{re.escape(MARKS)}](?=[^\W\d_])")
-SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{re.escape(MARKS)}])(?:[ .\-_*](?:[^\W_]|[{re.escape(MARKS)}])){{3,30}}(?![^\W_])")
+SWAPPED = re.compile(rf"(?<=[^\W\d_])[{re.escape(MARKS.replace('!', ''))}]|[{re.escape(MARKS)}](?=[^\W\d_])")
+SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{re.escape(MARKS)}])(?:[ .\-_*]+(?:[^\W_]|[{re.escape(MARKS)}])){{3,}}(?![^\W_])")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
-TOKEN = re.compile(r"\S+")
-SWAP_SIGN, REPEAT_SIGN, SPACE_SIGN = 1, 2, 4
-#: About so many labelled rows teach the words; so many features are kept.
-TRAIN_DOCS, FEATURES = 12_000, 4096
+#: What is decoded as a whole where a look-alike or a repeated letter is found: letters, digits and look-alikes in a row.
+WORD = re.compile(rf"(?:[^\W_]|[{re.escape(MARKS)}])+")
+#: White space between words of two letters or digits or more, where no span can cross.
+BETWEEN = re.compile(r"(?<=[^\W_]{2})[\x20\x09-\x0D](?=[^\W_]{2})")
+#: A word of mostly look-alikes is decoded if its letters are on average likelier than any of the alphabet.
+LIKELY = -math.log(ALPHABET)
+KEPT_SPAN = 64  # longer spans aren't remembered
+#: About so many labelled rows of each label teach the words; so many features are kept.
+TRAIN_DOCS, FEATURES = 6_000, 4096
+#: Labelled rows whose so many least feature hashes agree are near copies, of which one teaches.
+SKETCH = 12
 #: A feature needs so many toxic documents, and so large a share of toxic ones at the lower end of a 95 % interval.
 LEAST_DOCS, LEAST_SHARE = 5, 0.55
 BEGINNING = 5
@@ -58,7 +67,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 texts = [t.lower() for t in batch.slice(at, 1024).column("text").to_pylist() if t]
-                for _, part in slices(texts):
+                for _, part in slices(texts, cut=NO_LETTER):
                     x = _codes(np.frombuffer("\n\n".join(["", *part, ""]).encode("utf-32-le", "surrogatepass"), np.uint32))
                     keep = x > 0
                     keep[1:] |= x[:-1] > 0
@@ -98,6 +107,8 @@ class Channel:
     def decode(self, span: str, spaced: bool = False) -> str:
         """The likeliest original of a lower-cased span."""
         key = (span, spaced)
+        if len(span) > KEPT_SPAN:
+            return self._viterbi(span, spaced)
         out = self.known.get(key)
         if out is None:
             if len(self.known) > 200_000:
@@ -133,8 +144,6 @@ class Channel:
                 skip = SEPARATE if spaced and c in SEPARATORS else REPEAT if same and c * 3 in span[max(0, at - 2) : at + 3] else None
                 if skip is not None and ((key := (a, b, last)) not in new or v + skip > new[key][0]):
                     new[key] = (v + skip, path)
-            if len(new) > 64:
-                new = dict(sorted(new.items(), key=lambda x: -x[1][0])[:64])
             states = new
         ends = [(v + (p[(a * ALPHABET + b) * ALPHABET] if b else 0.0), path) for (a, b, _), (v, path) in states.items()]
         path = max(ends, key=lambda x: x[0])[1]
@@ -144,33 +153,42 @@ class Channel:
             out.append(x)
         return "".join(reversed(out))
 
-    def _tokens(self, text: str, sign: re.Pattern) -> str:
-        """``text`` with the tokens decoded in which ``sign`` is found."""
+    def likely(self, word: str) -> bool:
+        """Whether the letters of a decoded word are likelier than chance."""
+        codes = [0, 0, *map(self.code, word), 0]
+        total = sum(self.p[(x * ALPHABET + y) * ALPHABET + z] for x, y, z in zip(codes, codes[1:], codes[2:], strict=False) if y or z)
+        return total > LIKELY * (len(word) + 1)
+
+    def _words(self, text: str, sign: re.Pattern) -> str:
+        """``text`` with the words decoded in which ``sign`` is found."""
         out, done = [], 0
         for m in sign.finditer(text):
-            i = m.start()
-            if i < done:
+            s = m.start()
+            if s < done:
                 continue
-            low = max(done, i - LONGEST_SPAN)
-            s = max(low, 1 + max(text.rfind(x, low, i) for x in " \n\t"))
-            e = TOKEN.match(text, i).end()
-            token = text[s:e]
-            core = token.rstrip("!?|+.,;:\"')")
+            while s > done and WORD.match(text, s - 1, s):
+                s -= 1
+            e = WORD.match(text, m.start()).end()
+            core = text[s:e].rstrip("!|+")
             marks = sum(c in LOOKALIKES for c in core)
-            if len(core) <= (LONGEST_SPAN if sign is REPEATED else LONGEST_SWAPPED) and (marks or sign is REPEATED) and 3 * marks <= 2 * len(core):
-                out += [text[done:s], self.decode(core), token[len(core) :]]
-                done = e
+            if marks or sign is REPEATED:
+                found = self.decode(core)
+                if 3 * marks <= 2 * len(core) or self.likely(found):
+                    out += [text[done:s], found, text[s + len(core) : e]]
+                    done = e
         return "".join([*out, text[done:]]) if out else text
 
-    def restore(self, text: str, signs: int = 7) -> str:
+    def restore(self, text: str) -> str:
         """A lower-cased text with its suspicious spans decoded."""
-        if signs & SPACE_SIGN:
-            text = SPACED.sub(lambda m: self.decode(m[0], True), text)
-        if signs & SWAP_SIGN:
-            text = self._tokens(text, SWAPPED)
-        if signs & REPEAT_SIGN:
-            text = self._tokens(text, REPEATED)
-        return text
+        text = SPACED.sub(lambda m: self.decode(m[0], True), text)
+        return self._words(self._words(text, SWAPPED), REPEATED)
+
+
+@lru_cache(maxsize=1)
+def word_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point, whether it is a letter or digit, and whether it is one that is no decimal digit, as the patterns have it."""
+    every = [chr(c) for c in range(0x110000)]
+    return np.fromiter((c.isalnum() for c in every), bool), np.fromiter((c.isalnum() and not c.isdecimal() for c in every), bool)
 
 
 _MARK = np.zeros(0x110000, bool)
@@ -180,17 +198,18 @@ _SEPARATOR[[ord(c) for c in SEPARATORS]] = True
 
 
 def suspicious(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each text, which of the channel's marks it may show, as a sum of signs."""
-    letter = letter_table()[points]
+    """For each text, whether it may show any of the channel's marks; where it doesn't no pattern matches."""
+    alnum, letter = (t[points] for t in word_tables())
     mark = _MARK[points]
-    swap, repeat, space = np.zeros((3, len(points)), bool)
-    swap[1:] |= mark[:-1] & letter[1:]  # a look-alike before a letter
-    swap[1:] |= letter[:-1] & mark[1:] & (points[1:] != 33)  # or behind one; an exclamation mark is none there
-    if len(points) > 6:
-        repeat[2:] = letter[2:] & (points[2:] == points[1:-1]) & (points[1:-1] == points[:-2])
-        one, gap = letter | mark, _SEPARATOR[points]
-        space[6:] = one[6:] & gap[5:-1] & one[4:-2] & gap[3:-3] & one[2:-4] & gap[1:-5] & one[:-6]
-    return sum(sign * np.logical_or.reduceat(x, starts[:-1]) for sign, x in ((SWAP_SIGN, swap), (REPEAT_SIGN, repeat), (SPACE_SIGN, space)))
+    odd = np.zeros(len(points), bool)
+    odd[1:] |= mark[:-1] & letter[1:]  # a look-alike before a letter
+    odd[1:] |= letter[:-1] & mark[1:] & (points[1:] != 33)  # or behind one; an exclamation mark is none there
+    odd[2:] |= letter[2:] & (points[2:] == points[1:-1]) & (points[1:-1] == points[:-2])
+    gap = _SEPARATOR[points]
+    first = np.flatnonzero(~gap | np.concatenate([[True], ~gap[:-1]]))  # separators in a row count as one
+    one, gap = (alnum | mark)[first], gap[first]
+    odd[first[6:]] |= one[6:] & gap[5:-1] & one[4:-2] & gap[3:-3] & one[2:-4] & gap[1:-5] & one[:-6]
+    return np.logical_or.reduceat(odd, starts[:-1])
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,12 +236,20 @@ class Scorer:
     weights: np.ndarray
     prior: float
 
+    def pieces(self, texts: list[str], channel: Channel):
+        """(numbers of texts, restored texts), lower-cased, in slices that no span crosses."""
+        for index, part in slices([t.lower() for t in texts], cut=BETWEEN):
+            held = [t + " " for t in part]
+            points = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+            starts = np.concatenate([[0], np.cumsum([*map(len, held)])])
+            yield index, [channel.restore(t) if odd else t for t, odd in zip(part, suspicious(points, starts), strict=True)]
+
     def restored(self, texts: list[str], channel: Channel) -> list[str]:
-        low = [t.lower() for t in texts]
-        held = [t + " " for t in low]
-        points = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts = np.concatenate([[0], np.cumsum([*map(len, held)])])
-        return [channel.restore(t, int(odd)) if odd else t for t, odd in zip(low, suspicious(points, starts), strict=True)]
+        out: list[list[str]] = [[] for _ in texts]
+        for index, part in self.pieces(texts, channel):
+            for k, t in zip(index, part, strict=True):
+                out[k].append(t)
+        return ["".join(x) for x in out]
 
     def score(self, texts: list[str], channel: Channel) -> np.ndarray:
         """Probability that each text is toxic."""
@@ -230,8 +257,8 @@ class Scorer:
         light[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
         total = np.full(len(texts), self.prior)
         docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for index, part in slices(texts):
-            doc, key = features(self.restored(part, channel))
+        for index, part in self.pieces(texts, channel):
+            doc, key = features(part)
             some = light[(key & np.uint64(0xFFFF)).astype(np.int64)]
             doc, key = doc[some], key[some]
             at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
@@ -243,12 +270,16 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text, toxic) of about ``most`` labelled rows outside the held-out fold."""
+def _sampled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, text, toxic) of about ``most`` rows of each label outside the held-out fold; and the share drawn by label."""
     known = pick(labels, doc_id="doc_id", toxic="toxic").where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0))
-    total = known.count()
-    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(total, 1)))
-    return docs.where(F.col("text").isNotNull() & near).join(known.where(near), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    known = known.select("doc_id", (F.col("toxic").cast("double") != 0).cast("int").alias("toxic"))
+    rows = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    rate = {k: min(1.0, most / n) for k, n in rows.items()}
+    least = F.when(F.col("toxic") == 1, int((1 << 30) * rate.get(1, 1.0))).otherwise(int((1 << 30) * rate.get(0, 1.0)))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    drawn = docs.where(F.col("text").isNotNull() & (draw < int((1 << 30) * max(rate.values(), default=1.0)))).join(known.where(draw < least), "doc_id")
+    return drawn.select("doc_id", "text", "toxic"), rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
@@ -264,31 +295,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
                 part = batch.slice(at, 256)
                 texts = part.column("text").to_pylist()
                 feats: list[list[int]] = [[] for _ in texts]
-                for index, piece in slices(texts):
-                    doc, key = features(blank.restored(piece, channel))
+                for index, piece in blank.pieces(texts, channel):
+                    doc, key = features(piece)
                     for d, k in zip(np.asarray(index)[doc].tolist(), key.view(np.int64).tolist(), strict=True):
                         feats[d].append(k)
                 feats = [sorted(set(f)) for f in feats]
-                # Copies of one document teach once: they share their two least features.
-                likeness = [hash((f[0], f[min(1, len(f) - 1)])) if f else 0 for f in feats]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.string()), "toxic": part.column("toxic"), "likeness": pa.array(likeness, pa.int64()), "features": pa.array(feats, pa.list_(pa.int64()))})
+                sketch = [xxhash.xxh3_128_digest(np.array(f[:SKETCH], np.int64).tobytes()) for f in feats]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.string()), "toxic": part.column("toxic"), "sketch": pa.array(sketch, pa.binary()), "features": pa.array(feats, pa.list_(pa.int64()))})
 
-    rows = _sampled(docs, labels, most).mapInArrow(tidy(run), "doc_id string, toxic int, likeness long, features array<long>")
-    rows = rows.groupBy("likeness", "toxic").agg(F.min(F.struct("doc_id", "features")).alias("r")).select("toxic", "r.features")
-    rows = rows.groupBy("features").agg(F.max("toxic").alias("toxic"))
+    sample, rate = _sampled(docs, labels, most)
+    taught = sample.mapInArrow(tidy(run), "doc_id string, toxic int, sketch binary, features array<long>")
+    # Copies teach once; of copies with both labels the toxic one.
+    taught = taught.groupBy("sketch").agg(F.max(F.struct("toxic", "doc_id", "features")).alias("r")).select("r.toxic", "r.features")
     # One job counts features and documents: feature null stands for the document itself.
-    f = rows.select("toxic", F.explode(F.concat("features", F.array(F.lit(None).cast("long")))).alias("f"))
-    n = f.groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"))
+    f = taught.select("toxic", F.explode(F.concat("features", F.array(F.lit(None).cast("long")))).alias("f"))
+    n = f.groupBy("f").agg(F.count("*").alias("rows"), F.sum("toxic").alias("pos"))
+    # Where labels are drawn at different rates, clean rows count for as many as they stand for.
+    n = n.withColumn("n", F.col("pos") + (F.col("rows") - F.col("pos")) * (rate.get(1, 1.0) / rate.get(0, 1.0)))
     share, z2 = F.col("pos") / F.col("n"), 3.84
     low = (share + z2 / (2 * F.col("n")) - 1.96 * F.sqrt((share * (1 - share) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
     n = n.withColumn("low", low).where(F.col("f").isNull() | ((F.col("pos") >= LEAST_DOCS) & (F.col("low") >= LEAST_SHARE)))
     found = n.orderBy(F.col("f").isNotNull(), F.desc("pos"), "f").limit(FEATURES + 1).collect()
     if not found or found[0].f is not None:
         return Scorer(model, np.zeros(0, np.uint64), np.zeros(0), math.log(1 / 9))
-    total, toxic = found[0].n, found[0].pos
-    prior = math.log((toxic + 0.5) / (total - toxic + 0.5))
+    toxic, clean = found[0].pos, found[0].rows - found[0].pos
+    prior = math.log((toxic + 0.5) / (clean * rate.get(1, 1.0) / rate.get(0, 1.0) + 0.5))
     keys = np.array([r.f for r in found[1:]], np.int64).view(np.uint64)
-    weights = np.array([math.log((r.pos + 0.5) / (toxic + 1)) - math.log((r.n - r.pos + 0.5) / (total - toxic + 1)) for r in found[1:]])
+    weights = np.array([math.log((r.pos + 0.5) / (toxic + 1)) - math.log((r.rows - r.pos + 0.5) / (clean + 1)) for r in found[1:]])
     order = np.argsort(keys)
     return Scorer(model, keys[order], weights[order], min(prior, -0.5))
 
@@ -317,7 +350,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 columns = {"doc_id": part.column("doc_id"), "score": pa.array(s.score(texts, channel))}
                 if with_restored:
-                    columns["restored"] = pa.array([channel.restore(t.lower()) for t in texts], pa.string())
+                    columns["restored"] = pa.array(s.restored(texts, channel), pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
     out = d.mapInArrow(tidy(run), schema)
