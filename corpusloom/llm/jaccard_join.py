@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from corpusloom.llm.common import pick, small_batches
+from corpusloom.llm.common import pick, rows_of, small_batches, with_row
 from corpusloom.llm.fixed import merged
 from corpusloom.llm.graph import components
 from corpusloom.llm.pieces import mixed, prefix_sums, slices, tidy
@@ -124,7 +124,10 @@ def _described(d: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(d: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc_id, elements) of the documents in ``ids``; a filter of fixed size spares shuffling the other texts."""
+    """(digest, elements) of the classes in ``ids`` (digest, doc_id); a filter of fixed size spares shuffling the other texts.
+
+    Rows may share an identifier and differ in text, so a class's set is known by its digest.
+    """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLOTS)).cast("int")
 
     def mark(total: np.ndarray, batch: pa.RecordBatch) -> None:
@@ -137,14 +140,15 @@ def _sets(d: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for part in _batches(batches):
             part = part.filter(pa.array(shared.value[part.column("slot").to_numpy()]))
             sets = shingle_sets(part.column("text").to_pylist(), n)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "elements": pa.array([x.tobytes() for x in sets], pa.binary())})
+            raw = [x.tobytes() for x in sets]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "digest": pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), "elements": pa.array(raw, pa.binary())})
 
-    out = d.withColumn("slot", slot).mapInArrow(tidy(run), d.select("doc_id").schema.add("elements", "binary"))
-    return out.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    out = d.withColumn("slot", slot).mapInArrow(tidy(run), d.select("doc_id").schema.add("digest", "binary").add("elements", "binary"))
+    return out.join(ids, ["doc_id", "digest"], "left_semi").select("digest", "elements").dropDuplicates(["digest"])
 
 
-def _near(pairs: DataFrame, described: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets may reach the threshold, as counts by first byte bound the intersection."""
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of classes whose sets may reach the threshold, as counts by first byte bound the intersection."""
 
     def run(batches):
         for part in _batches(batches):
@@ -154,17 +158,18 @@ def _near(pairs: DataFrame, described: DataFrame, num: int, den: int) -> DataFra
             may = ((num + den) * most >= num * sizes) | (np.minimum(x, y).max(axis=1) == FULL)
             yield part.select(["a", "b"]).filter(pa.array(may))
 
-    left, right = (described.select(F.col("doc_id").alias(i), F.col("spread").alias(v), F.col("n").alias(c)).dropDuplicates([i]) for i, v, c in (("a", "x", "na"), ("b", "y", "nb")))
+    left, right = (classes.select(F.col("digest").alias(i), F.col("spread").alias(v), F.col("n").alias(c)) for i, v, c in (("a", "x", "na"), ("b", "y", "nb")))
     both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
     return staged(both.select("a", "b", "x", "y", "na", "nb").mapInArrow(tidy(run), pairs.select("a", "b").schema), "join-near")
 
 
-def _verified(d: DataFrame, described: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, as a written table."""
+def _verified(d: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold, as a written table."""
     if pairs.isEmpty():
         return pairs
-    pairs = _near(pairs, described, num, den)
-    ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "join-ids")
+    pairs = _near(pairs, classes, num, den)
+    ids = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+    ids = staged(ids.join(classes.select("digest", F.col("rep").alias("doc_id")), "digest"), "join-ids")
     sets = staged(_sets(d, ids, n), "join-elements")
 
     def run(batches):
@@ -179,7 +184,7 @@ def _verified(d: DataFrame, described: DataFrame, pairs: DataFrame, n: int, num:
                 good[k] = den * common >= num * (len(z) - common)
             yield part.select(["a", "b"]).filter(pa.array(good))
 
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+    left, right = sets.select(F.col("digest").alias("a"), F.col("elements").alias("x")), sets.select(F.col("digest").alias("b"), F.col("elements").alias("y"))
     both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
     return staged(both.select("a", "b", "x", "y").mapInArrow(tidy(run), pairs.select("a", "b").schema), "join-links")
 
@@ -195,25 +200,29 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_links.
+    """One row per input row: doc_id, n_shingles, component_id, links_verified.
 
     Two documents link when ``den`` * intersection >= ``num`` * union of their sets of ``n``-word shingles
     (A-Z lower-cased).  A null, empty or blank text has an empty set and links with
-    nothing.  ``component_id`` is the smallest doc_id reachable by links; ``n_links`` counts the links
-    verified at the document's class, enough to connect its component.  Rows with the same doc_id
-    count as one document; rows without one link with nothing and get no component.  Further columns are ignored.
+    nothing.  ``component_id`` is the smallest doc_id reachable by links; ``links_verified`` counts the links between
+    classes of equal sets that were looked up at the document's class: enough to connect its component, not all there are.
+    Rows with the same doc_id are one document: each has its own set, and a link of any of them reaches all.  Rows without
+    one link with nothing and get no component.  Texts of any length are taken whole, an empty table gives an empty
+    result, further columns are ignored.
     """
     d = small_batches(pick(docs, doc_id=id_col, text=text_col)).select("doc_id", F.col("text").cast("string").alias("text"))
     a = staged(_described(d, n, num, den), "join-sets")
     real = a.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     small = real.select("doc_id", "n", "digest", "group")
-    classes = small.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    groups = small.groupBy("group").agg(F.min("doc_id").alias("gid"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
-    m = staged(small.join(classes, "digest").join(groups, "group").select("doc_id", "n", "rep", "gid", (F.col("d1") != F.col("d2")).alias("many")), "join-classes")
-    heads = real.join(m.where("doc_id = gid").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "group"])
+    # A class is known by the digest of its set, a group by the least digest of its classes.
+    classes = small.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("group").alias("group"))
+    groups = small.groupBy("group").agg(F.min("digest").alias("gid"), F.max("digest").alias("d2"))
+    m = staged(classes.join(groups, "group").select("digest", "rep", "n", "gid", (F.col("gid") != F.col("d2")).alias("many")), "join-classes")
+    described = real.join(m.select("digest", F.col("rep").alias("doc_id"), "rep"), ["digest", "doc_id"]).dropDuplicates(["digest"])
+    heads = real.join(m.where("digest = gid").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
 
     # Lists with more than one entry.
-    entry = heads.select(F.col("doc_id").alias("gid"), "n", F.size("prefix").alias("len"), "frequent", F.posexplode("prefix").alias("pos", "token"))
+    entry = heads.select(F.col("digest").alias("gid"), "n", F.size("prefix").alias("len"), "frequent", F.posexplode("prefix").alias("pos", "token"))
     entry = entry.withColumn("place", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")))  # one column is a third less to shuffle
     often = F.col("pos") >= F.col("len") - F.col("frequent")
     near = Window.partitionBy("token").orderBy("gid").rowsBetween(-1, 1)
@@ -221,12 +230,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     lists = staged(lists.union(entry.where(often).select("token", "gid", "place")), "join-lists")
     lists = lists.select("token", "gid", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos"))
 
-    reps = m.select("rep", "gid", "n", "many").distinct()
+    reps = m.select(F.col("digest").alias("rep"), "gid", "n", "many")
     pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("p"))  # the least rare elements of its own: the likeliest origin of copies
     star = lists.join(pivots.hint("shuffle_merge"), "token").where(_possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), num, den)).select(F.col("p.gid").alias("g"), "gid")
     star = star.union(reps.where("many").select("gid", "rep"))
     star = staged(_ordered(star.toDF("g", "h"), "g", "h"), "join-star")
-    links = _verified(d, real, star, n, num, den)
+    links = _verified(d, described, star, n, num, den)
     comp = components(links)
 
     # Entries by group and component; a group whose members are in several components is a list, too.
@@ -237,7 +246,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     units = unit_of.groupBy("gid", "comp").agg(F.min("rep").alias("unit"))
     by_token = lists.join(units, "gid").select(F.lit(0).alias("kind"), F.col("token").alias("key"), "unit", "comp", "n", "pos")
     sizes = m.groupBy("gid").agg(F.first("n").alias("n"))
-    by_group = units.join(sizes, "gid").select(F.lit(1).alias("kind"), F.col("gid").alias("key"), "unit", "comp", "n", F.lit(0).cast("long").alias("pos"))
+    by_group = units.join(sizes, "gid").select(F.lit(1).alias("kind"), F.xxhash64("gid").alias("key"), "unit", "comp", "n", F.lit(0).cast("long").alias("pos"))
     rows = by_token.unionByName(by_group)
     counts = rows.groupBy("kind", "key", "comp").agg(F.count("*").alias("rows"))
     mixed_keys = counts.groupBy("kind", "key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1").select("kind", "key", "largest")
@@ -249,19 +258,33 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     member = unit_of.join(units, ["gid", "comp"]).select("unit", "rep")
     pairs = pairs.join(member.select(F.col("unit").alias("a"), F.col("rep").alias("ra")), "a").join(member.select(F.col("unit").alias("b"), F.col("rep").alias("rb")), "b")
     pairs = _ordered(pairs, "ra", "rb")
-    more = _verified(d, real, staged(pairs, "join-pairs"), n, num, den)
+    more = _verified(d, described, staged(pairs, "join-pairs"), n, num, den)
     if not more.isEmpty():
         links = links.union(more)
         comp = components(links)
-    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = reduce(lambda p, q: p.join(q, "rep", "left"), [m.select("doc_id", "rep").distinct(), comp.withColumnRenamed("node", "rep"), ends])
-    found = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"), "n_links")
-    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
+    ends = links.select(F.col("a").alias("digest")).union(links.select(F.col("b").alias("digest"))).groupBy("digest").agg(F.count("*").alias("links_verified"))
+    named = reduce(lambda p, q: p.join(q, "digest", "left"), [m.select("digest", "rep"), comp.withColumnRenamed("node", "digest"), ends])
+    named = named.select("digest", "rep", F.coalesce("component", "digest").alias("component"), "links_verified")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    found = staged(small.select("doc_id", "digest").distinct().join(named.join(least, "component").select("digest", "least", "links_verified"), "digest"), "join-found")
+    found = found.groupBy("doc_id").agg(F.min("least").alias("component_id"), F.max("least").alias("last"), F.max("links_verified").alias("links_verified"))
+    found = staged(found, "join-documents")
+    # A document with several texts unites the components that these are in.
+    across = found.where("component_id <> last").select("doc_id")
+    if not across.isEmpty():
+        parts = small.select("doc_id", "digest").join(across, "doc_id").join(named.join(least, "component").select("digest", "least"), "digest")
+        bridges = parts.join(found.select("doc_id", "component_id"), "doc_id").select(F.col("least").alias("a"), F.col("component_id").alias("b"))
+        united = components(bridges).select(F.col("node").alias("component_id"), F.col("component").alias("united"))
+        found = found.join(united, "component_id", "left").select("doc_id", F.coalesce("united", "component_id").alias("component_id"), "links_verified")
     out = a.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links_verified", F.lit(0)).cast("long").alias("links_verified"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller identifier; rows without identifier stay."""
-    gone = jaccard_components(docs, n, num, den, id_col, text_col).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(staged(gone, "join-gone"), id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without those whose component has a smaller identifier; all columns stay.
+
+    Rows without identifier stay, and so do null, empty and blank texts; repeated rows stay or go together.  An empty
+    table gives an empty result.
+    """
+    gone = jaccard_components(docs, n, num, den, id_col, text_col).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
+    return rows_of(with_row(docs, doc_id=id_col).join(staged(gone, "join-gone"), F.col("doc_id") == F.col("gone"), "left_anti"), docs.columns)

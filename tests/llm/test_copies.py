@@ -86,9 +86,19 @@ def test_jaccard_join_on_odd_rows(odd, empty):
 
 
 def test_components_of_a_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.component for r in components(edges).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1000)] + [(2000, i) for i in range(2001, 2200)] + [(5000, 5001), (7, 7)], "a long, b long")
+    rounds = []
+    got = {r.node: r.component for r in components(edges, count=rounds).collect()}
+    assert got == {i: 0 for i in range(1001)} | {i: 2000 for i in range(2000, 2200)} | {5000: 5000, 5001: 5000}
+    assert len(rounds) <= 8 and rounds[-1] == 0
+
+
+def test_rows_that_share_an_identifier_keep_their_links(spark):
+    rng = random.Random(9)
+    a, b = (" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(300)) for _ in "ab")
+    rows = [(1, a), (2, b), (3, a + " q"), (3, b + " q"), (4, "something else altogether here")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
 def test_chunks_cover_texts_and_resist_insertions():
