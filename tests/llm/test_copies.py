@@ -167,3 +167,57 @@ def test_passages_of_50_short_words_are_found_to_their_ends(spark):
     got = {r.doc_id: r for r in substring_dedup.repeated_runs(df).collect()}
     assert set(got) == set(planted)
     assert all(planted[i] in docs[i][1].encode()[r.start : r.start + r.n_bytes].decode() for i, r in got.items())
+
+
+def test_rows_that_share_an_identifier_keep_their_own_texts(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("aeiouthnrsl") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    a, b, alone = say(150), say(150), "unique " * 600
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (3, b), (3, alone), (3, a), (None, a)], "doc_id long, text string")
+    rows = substring_dedup.repeated_runs(df).where("doc_id = 3").collect()
+    assert sorted((r.first_doc_id, r.n_bytes) for r in rows) == [(1, len(a)), (2, len(b))] and not any(r.kept for r in rows)
+    rest = collections.Counter((r.doc_id, r.text) for r in substring_dedup.without_repeats(df).collect())
+    assert rest == collections.Counter([(1, a), (2, b), (3, ""), (3, ""), (3, ""), (3, alone), (None, a)])
+
+
+def test_repeats_inside_a_text_are_found_if_asked_for(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join("".join(rng.choice("aeiouthnrsl") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    a, head = say(150), say(30)
+    df = spark.createDataFrame([(1, f"{head} {a} {head[::-1]} {a} {a}")], "doc_id long, text string")
+    assert substring_dedup.repeated_runs(df).count() == 0
+    rest = substring_dedup.without_repeats(df, within=True).first().text
+    assert rest.startswith(f"{head} {a} {head[::-1]}") and len(rest) < len(head) * 2 + len(a) + 250
+
+
+def test_runs_equal_brute_force(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("aeiouthnrslé") for _ in range(rng.randint(6, 9))) for _ in range(n))
+    parts = [say(rng.randint(5, 120)) for _ in range(40)]
+    docs = [(i, " ".join(rng.choice(parts) if rng.random() < 0.6 else say(30) for _ in range(rng.randint(1, 6)))) for i in range(120)]
+    held, cut = collections.defaultdict(set), {}
+    for i, t in docs:
+        data = t.encode()
+        ends = substring_dedup.chunks(data)
+        cut[i] = [(x, y, data[x:y]) for x, y in zip([0, *ends], ends)]
+        for _, _, x in cut[i]:
+            held[x].add(i)
+    want = collections.defaultdict(list)
+    for i, rows in cut.items():
+        run = []
+        for x, y, data in [*rows, (-1, -1, b"")]:
+            if data and len(held[data]) > 1:
+                run.append((x, y, min(held[data]) < i))
+                continue
+            if len(run) > 1:
+                want[i].append((run[0][0], run[-1][1], len(run), any(e for _, _, e in run)))
+            run = []
+    got = collections.defaultdict(list)
+    for r in substring_dedup.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.start, r.start + r.n_bytes, r.n_chunks, not r.kept))
+    for i, runs in want.items():
+        for x, y, n, later in runs:
+            found = [g for g in got[i] if g[0] <= x and g[1] >= y and g[2:] == (n, later)]
+            assert len(found) == 1 or y - x < substring_dedup.MIN_RUN and not found
+    assert all(any(g[0] <= x and g[1] >= y and g[2:] == (n, later) for x, y, n, later in want[i]) for i, gs in got.items() for g in gs)
+    assert sum(map(len, got.values())) > 50
