@@ -14,7 +14,9 @@ state, so the automaton is kept as fork records instead of copied arc lists:
 An arc exists when no inherited fork removed it, or removed the arc it was built
 from before it was built.  Looked-up arcs are kept in a table.
 
-A word's symbols are encoded by one pass over its positions: every prefix has one
+A word's symbols are encoded by one pass over its positions.  Labels are compiled into a table of transitions
+(state, symbol) -> state, in which a state names the token that it completes; a second table holds the automaton's arcs
+(token, token) as they are looked up.  Every prefix has one
 accepted token sequence, so a position keeps its last token, and an arc's token is
 taken if the automaton has the arc from the state of the token before it.
 Decoding emits the arcs' labels.
@@ -61,9 +63,17 @@ class MergeAutomaton:
         for label, t in vocab.items():
             self.labels[t] = label
         self.suffix = suffix
-        inner = {x: t for x, t in vocab.items() if not x.endswith(suffix)}
-        #: Every beginning of an inner label, with the label's token or -1.
-        self.inner = {x[:k]: -1 for x in inner for k in range(1, len(x))} | inner
+        #: Transitions by state << 16 | symbol, and the token that a state completes, or -1; state 0 begins a token.
+        self.step: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        for label, t in vocab.items():
+            if not label.endswith(suffix):
+                state = 0
+                for c in label:
+                    state = self.step.setdefault(state << 16 | ord(c), len(self.token))
+                    if state == len(self.token):
+                        self.token.append(-1)
+                self.token[state] = t
         self.final = {x[: -len(suffix)]: t for x, t in vocab.items() if x.endswith(suffix) and x != suffix}
         self.longest_final = max(map(len, self.final), default=0)
         self.gadgets: dict[tuple[int, int], int] = {}
@@ -109,17 +119,20 @@ class MergeAutomaton:
         n = len(symbols)
         if not n:
             return []
-        inner, final, arc, longest = self.inner.get, self.final.get, self.arc, self.longest_final
+        step, token, final, arc, longest = self.step.get, self.token, self.final.get, self.arc, self.longest_final
+        codes = [*map(ord, symbols)]
         last: list[int] = [-1] * (n + 1)
         came = [0] * (n + 1)
         for i in range(n):
             p = last[i]
             if i and p < 0:
                 continue
+            state = 0
             for e in range(i + 1, n):
-                t = inner(symbols[i:e])
-                if t is None:
+                state = step(state << 16 | codes[e - 1])
+                if state is None:
                     break
+                t = token[state]
                 if t >= 0 and last[e] < 0 and (not i or arc(p, t)):
                     last[e], came[e] = t, i
             if n - i <= longest and (t := final(symbols[i:])) is not None and (not i or arc(p, t)):
@@ -154,12 +167,38 @@ class Words(dict):
         return found
 
 
+#: What a tokenizer file must say of normalising and splitting, for FAST to split as the file does.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def check(spec: dict) -> None:
+    """Raise unless FAST and the automaton stand for what the file says: another kind of file would give other tokens."""
+    model = spec["model"]
+    wanted = {
+        "a BPE model with an end-of-word suffix": model.get("type", "BPE") == "BPE" and model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix"),
+        "no dropout, byte fallback or ignored merges": not model.get("dropout") and not model.get("byte_fallback") and not model.get("ignore_merges"),
+        f"the normaliser {NORMALIZER}": spec.get("normalizer") == NORMALIZER, f"the pre-tokenizer {PRE_TOKENIZER}": spec.get("pre_tokenizer") == PRE_TOKENIZER,
+        "no decoder or post-processor": spec.get("decoder") is None and spec.get("post_processor") is None,
+        "added tokens that are taken as they stand": not any(t.get(x) for t in spec.get("added_tokens", []) for x in ("lstrip", "rstrip", "single_word", "normalized")),
+    }
+    missing = [what for what, holds in wanted.items() if not holds]
+    if missing:
+        raise ValueError("a tokenizer file needs: " + "; ".join(missing))
+
+
 class Tokenizer:
     """What a ``tokenizers`` file of a lower-casing, word-end BPE says, for whole texts."""
 
     def __init__(self, raw: str):
         spec = json.loads(raw)
         model = spec["model"]
+        check(spec)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.words = Words(MergeAutomaton(model["vocab"], merges, model["end_of_word_suffix"]))
         self.symbol_words = Words(self.words.automaton, as_symbols=True)
@@ -178,7 +217,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> tuple[str, str]:
         """Ids and labels of a text, each joined by single spaces."""
-        if self.cut is None or "<|" not in text or len(parts := self.cut.split(text)) == 1:
+        if self.cut is None or len(parts := self.cut.split(text)) == 1:
             words = self.found(text)
             return " ".join([x[0] for x in words]), " ".join([x[1] for x in words])
         found = [(str(self.special[x]), x) if k % 2 else self.encode(x) for k, x in enumerate(parts)]

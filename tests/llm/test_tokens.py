@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -69,3 +70,13 @@ def test_documents(odd, empty, both):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert bpe.decode(want[4][4], open(FILE, encoding="utf-8").read()) == both[1].decode(want[4][4], skip_special_tokens=False)
     assert bpe.encode_documents(empty, FILE).count() == 0
+
+
+def test_other_tokenizer_files_are_refused():
+    with open(FILE, encoding="utf-8") as f:
+        spec = json.load(f)
+    for part, value in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("decoder", {"type": "ByteLevel"})):
+        with pytest.raises(ValueError, match="tokenizer file needs"):
+            bpe.check(spec | {part: value})
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="tokenizer file needs"):
+        bpe.Tokenizer(f.read())
