@@ -5,11 +5,13 @@ length.  A rotation by the singular vectors of all vectors puts most of an inner
 into the first coordinates.  A block of queries meets a block of candidates like this:
 
 * queries whose length times the block's greatest length can't reach their k-th best score are done;
-* the first coordinates' partial sums plus the Cauchy-Schwarz bound of the rest are compared with it;
-* pairs that may still reach it are scored exactly, in integers.
+* partial sums over the first coordinates plus the Cauchy-Schwarz bound of the rest are compared with it, in
+  steps of ``STEP`` coordinates: each step goes on with the pairs that may still reach it;
+* what is left after the last step is scored exactly, in integers.
 
-The k-th best scores start from the block of longest vectors, so every other block prunes
-at once.  Blocks meet in a grid of tasks of fixed size; per query and block, k rows leave a task.
+The k-th best scores, the floors, start from the block of longest vectors.  Queries are then dealt anew by the length that a
+candidate needs to reach their floor, so that a block of queries needs a prefix of the blocks only: the
+others are left out before any vector is sent.  Blocks meet in a grid of tasks of fixed size; per query and block, k rows leave a task.
 """
 
 from __future__ import annotations
@@ -25,23 +27,26 @@ from corpusloom.llm.fixed import BLOCKS, merged
 from corpusloom.llm.pieces import tidy
 from corpusloom.sources.scratch import staged
 
-QUERY_ROWS, BLOCK_ROWS = 1024, 4096
-#: Coordinates of the partial sums, and the share of pairs left from which scoring all of a tile is cheaper.
-LEADING, DENSE = 16, 0.05
-NONE = np.iinfo(np.int64).min
+QUERY_ROWS, BLOCK_ROWS = 4096, 8192
+#: Coordinates that a step of the partial sums adds, and the share of pairs left from which a step computes them all at once.
+STEP, DENSE = 16, 0.05
+#: Candidates that a task looks at at once; the first of a block are fewer, as floors may be unknown.
+FIRST, TILE = 128, 1024
+NONE = int(np.iinfo(np.int64).min)
+#: Numbers and lengths of up to so many blocks are broadcast; of more, the grid's cells are found by a plain join.
+MOST_BLOCKS = 100_000
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component, x as double.
+    """(row, vec_id, v): floor(scale * x) of every component, x as double; ``row`` numbers rows, for a table to be written.
 
-    Rows without identifier or vector, or with a null or non-finite component, are left out.  Of
-    rows that repeat an identifier one is kept, the least vector.  Values beyond 64 bits are the nearest of these.
+    Rows without identifier or vector, or with a null or non-finite component, are left out.  Rows
+    that repeat an identifier all take part.  Values beyond 64 bits are the nearest of these.
     """
     d = pick(vectors, vec_id=id_col, v=vec_col).select("vec_id", F.col("v").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     d = d.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
-    d = d.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
-    return d.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return d.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -67,130 +72,154 @@ def _unpacked(width: int, data: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(data, {2: np.int16, 4: np.int32, 8: np.int64}[width]).reshape(-1, dim).astype(np.int64)
 
 
-BLOCK = "block int, ids binary, width int, data binary"
+BLOCK = "block int, rows binary, ids binary, width int, data binary, longest double"
 
 
 def _blocks(rows: DataFrame, dim: int, size: int) -> DataFrame:
-    """Each partition of (vec_id, v), packed into rows of up to ``size`` vectors; block is the partition's number."""
+    """Each partition of (row, vec_id, v), packed into rows of up to ``size`` vectors; block is the partition's number."""
 
     def run(batches):
-        ids, parts, held = [], [], 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         number = TaskContext.get().partitionId()
 
         def out():
-            width, data = _packed(np.concatenate(parts))
-            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int32()), "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()), "width": pa.array([width], pa.int32()), "data": pa.array([data], pa.binary())})
+            rows, ids, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            width, data = _packed(m)
+            longest = float(np.sqrt((m.astype(float) ** 2).sum(axis=1)).max(initial=0))
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([number], pa.int32()), "rows": pa.array([rows.tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary()),
+                "width": pa.array([width], pa.int32()), "data": pa.array([data], pa.binary()), "longest": pa.array([longest]),
+            })
 
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 piece = batch.slice(at, size)
-                if held + piece.num_rows > size and held:
+                if held and sum(len(x) for x, _, _ in held) + piece.num_rows > size:
                     yield out()
-                    ids, parts, held = [], [], 0
-                ids.append(piece.column("vec_id").to_numpy().astype(np.int64))
-                parts.append(_matrix(piece.column("v"), dim))
-                held += piece.num_rows
+                    held.clear()
+                held.append((piece.column("row").to_numpy().astype(np.int64), piece.column("vec_id").to_numpy().astype(np.int64), _matrix(piece.column("v"), dim)))
         if held:
             yield out()
 
-    return rows.select("vec_id", "v").mapInArrow(tidy(run), BLOCK)
+    return rows.select("row", "vec_id", "v").mapInArrow(tidy(run), BLOCK)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+class Best:
+    """The k best candidates of each query so far, as (query, score, identifier, row) by query and rank."""
 
+    def __init__(self, floor: np.ndarray, k: int):
+        self.k, self.low = k, np.where(floor == NONE, -np.inf, floor.astype(float))
+        self.query, self.score, self.ids, self.rows = (np.zeros(0, np.int64) for _ in range(4))
 
-def block_topk(qid, q, cid, c, floor, rotation, k):
-    """Per query, its k best of ``c`` that reach its floor: [(query position, ids, scores)]; c's own row of a query is left out."""
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        query, score, ids, rows = (np.concatenate(x) for x in ((self.query, query), (self.score, score), (self.ids, ids), (self.rows, rows)))
+        order = np.lexsort((rows, ids, -score, query))
+        rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order = order[rank < self.k]
+        self.query, self.score, self.ids, self.rows = query[order], score[order], ids[order], rows[order]
+        last = rank[rank < self.k] == self.k - 1
+        self.low[self.query[last]] = np.maximum(self.low[self.query[last]], self.score[last])
+
+
+def _exact(q: np.ndarray, c: np.ndarray, row: np.ndarray, col: np.ndarray, small: bool) -> np.ndarray:
+    """The integer inner products of the pairs; ``small`` ones are exact in doubles."""
+    if not small:
+        value = [max(-(1 << 63) + 1, min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(q[i], c[j], strict=True)))) for i, j in zip(row, col, strict=True)]
+        return np.array(value, np.int64)
+    out = np.zeros(len(row), np.int64)
+    for at in range(0, len(row), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        out[part] = np.einsum("ij,ij->i", q[row[part]].astype(float), c[col[part]].astype(float)).astype(np.int64)
+    return out
+
+
+def block_topk(q_rows, q, c_rows, cid, c, floor, rotation, k, count=None):
+    """The k best of ``c`` that reach its floor for each query; its own row is left out.
+
+    ``count`` gets the pairs in all, those that had a partial sum and those that were scored.
+    """
     dim = q.shape[1]
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1) < 2.0**52
+    small = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1) < 2.0**52
     qf, cf = q.astype(float), c.astype(float)
     qn, cn = np.linalg.norm(qf, axis=1), np.linalg.norm(cf, axis=1)
     slack = 1e-9 * (1 + qn.max(initial=0) * cn.max(initial=0))
-    low = np.where(floor == NONE, -np.inf, floor.astype(float))
     order = np.argsort(-cn, kind="stable")
-    cid, c, cf, cn = cid[order], c[order], cf[order], cn[order]
-    qr, cr = qf @ rotation, cf @ rotation
-    lead = min(LEADING, dim)
-    qrest = np.sqrt(np.maximum(qn**2 - (qr[:, :lead] ** 2).sum(1), 0))
-    crest = np.sqrt(np.maximum(cn**2 - (cr[:, :lead] ** 2).sum(1), 0))
-    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
-    for at in range(0, len(c), 1024):
-        part = slice(at, at + 1024)
-        live = np.flatnonzero(qn * cn[at] + slack >= low)  # lengths only fall from here
-        if not len(live):
+    c_rows, cid, c, cn = c_rows[order], cid[order], c[order], cn[order]
+    qr, cr = qf @ rotation, cf[order] @ rotation
+    steps = [*range(STEP, dim, STEP), dim]
+    rest = lambda x, n: [np.sqrt(np.maximum(n**2 - (x[:, :e] ** 2).sum(1), 0)) for e in steps]
+    q_rest, c_rest = rest(qr, qn), rest(cr, cn)
+    best = Best(floor, k)
+    seen = [len(q) * len(c), 0, 0]
+    tiles = [(at, min(at + (FIRST if not at else TILE), len(c))) for at in ([0, *range(FIRST, len(c), TILE)] if len(c) else [])]
+    for at, end in tiles:
+        every = np.flatnonzero(qn * cn[at] + slack >= best.low)  # lengths only fall from here
+        if not len(every):
             break
-        bound = qr[live, :lead] @ cr[part, :lead].T + qrest[live, None] * crest[None, part] + slack
-        may = bound >= low[live, None]
-        if exact and np.count_nonzero(may) > DENSE * may.size:
-            score = qf[live] @ cf[part].T
-            row, col = np.nonzero(score >= low[live, None])
-            value = score[row, col].astype(np.int64)
-        else:
-            row, col = np.nonzero(may)
-            if exact:
-                value = np.einsum("ij,ij->i", qf[live[row]], cf[part][col]).astype(np.int64)
-            else:
-                value = np.array([sum(int(a) * int(b) for a, b in zip(q[live[i]], c[at + j], strict=True)) for i, j in zip(row, col, strict=True)], object)
-                value = np.clip(value, -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64) if len(value) else np.zeros(0, np.int64)
-        own = cid[part][col] == qid[live[row]]
-        row, col, value = row[~own], col[~own], value[~own]
-        if len(row) > 4 * k * len(live):  # of many, only each query's best go on
-            keep = np.lexsort((cid[part][col], -value, row))
-            rank = np.arange(len(keep)) - np.searchsorted(row[keep], row[keep])
-            keep = keep[rank < k]
-            row, col, value = row[keep], col[keep], value[keep]
-        starts = np.searchsorted(row, np.arange(len(live) + 1)) if len(row) else np.zeros(len(live) + 1, int)
-        for i in np.unique(row):
-            s = slice(starts[i], starts[i + 1])
-            j = live[i]
-            ids, scores = held[j]
-            held[j] = ids, scores = _best(np.concatenate([ids, cid[part][col[s]]]), np.concatenate([scores, value[s]]), k)
-            if len(ids) == k:
-                low[j] = max(low[j], float(scores[-1]))
-    return [(j, ids, scores) for j, (ids, scores) in enumerate(held) if len(ids)]
+        for part in range(0, len(every), TILE):
+            live = every[part : part + TILE]
+            low, partial, row, col = best.low[live], None, None, None
+            seen[1] += len(live) * (end - at)
+            for n, e in enumerate(steps):
+                s = e - (e - 1) % STEP - 1
+                bound = lambda i, j: q_rest[n][live[i]] * c_rest[n][at + j] + slack  # noqa: B023, E731
+                if row is None:
+                    more = qr[live, s:e] @ cr[at:end, s:e].T
+                    partial = more if partial is None else partial + more
+                    may = partial + q_rest[n][live, None] * c_rest[n][None, at:end] + slack >= low[:, None]
+                    if e == dim or np.count_nonzero(may) <= DENSE * may.size:
+                        row, col = np.nonzero(may)
+                        partial = partial[row, col]
+                else:
+                    partial = partial + np.einsum("ij,ij->i", qr[live[row], s:e], cr[at + col, s:e])
+                    may = partial + bound(row, col) >= low[row]
+                    row, col, partial = row[may], col[may], partial[may]
+            seen[2] += len(row)
+            own = c_rows[at + col] == q_rows[live[row]]
+            row, col = row[~own], col[~own]
+            best.add(live[row], _exact(q, c[at:end], live[row], col, small), cid[at + col], c_rows[at + col])
+    if count is not None:
+        for i, x in enumerate(seen):
+            count[i] += x
+    return best
+
+
+FOUND = "q_row long, query_id long, vec_id long, c_row long, score long"
 
 
 def _searched(cells: DataFrame, rotation, dim: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of each cell's best; floors is binary or null."""
+    """Each cell's best; floors is binary, a number per query, or null."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                qid, cid = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                floor = np.full(len(qid), NONE)
-                if r["floors"] is not None:
-                    known = np.frombuffer(r["floors"], np.int64).reshape(-1, 2)
-                    at = np.searchsorted(known[:, 0], qid)
-                    at = np.minimum(at, len(known) - 1)
-                    floor = np.where(known[at, 0] == qid, known[at, 1], NONE)
-                got = block_topk(qid, _unpacked(r["q_width"], r["q_data"], dim), cid, _unpacked(r["width"], r["data"], dim), floor, rotation.value, k)
-                if got:
-                    yield pa.RecordBatch.from_pydict({
-                        "query_id": pa.array(np.concatenate([np.full(len(i), qid[j]) for j, i, _ in got])),
-                        "vec_id": pa.array(np.concatenate([i for _, i, _ in got])), "score": pa.array(np.concatenate([s for _, _, s in got])),
-                    })
-
-    return cells.select("q_ids", "q_width", "q_data", "floors", "ids", "width", "data").mapInArrow(tidy(run), "query_id long, vec_id long, score long")
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                q_rows, qid, rows, cid = (np.frombuffer(r[c], np.int64) for c in ("q_rows", "q_ids", "rows", "ids"))
+                floor = np.full(len(qid), NONE) if r["floors"] is None else np.frombuffer(r["floors"], np.int64)
+                best = block_topk(q_rows, _unpacked(r["q_width"], r["q_data"], dim), rows, cid, _unpacked(r["width"], r["data"], dim), floor, rotation.value, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_rows[best.query], qid[best.query], best.ids, best.rows, best.score)], names=["q_row", "query_id", "vec_id", "c_row", "score"])
+
+    return cells.select("q_rows", "q_ids", "q_width", "q_data", "floors", "rows", "ids", "width", "data").mapInArrow(tidy(run), FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "c_row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` best candidates of each query, all if there are fewer.
 
-    Queries are the rows whose identifier is divisible by ``every``, candidates all rows with another
-    identifier; the score is the inner product of the integer vectors (of different lengths: shorter ones end in zeros).
-    Ties go to the smaller vec_id.  See ``integer_vectors`` for rows that take no part.  An
-    empty table gives an empty result; further columns are ignored.
+    Queries are the rows whose identifier is divisible by ``every``, candidates all rows but the query's own;
+    the score is the inner product of the integer vectors (of different lengths: shorter ones end in zeros).
+    Ties go to the smaller vec_id.  Rows that repeat an identifier are rows of their own, as queries and as candidates.
+    See ``integer_vectors`` for rows that take no part.  An empty table gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
     base = staged(integer_vectors(vectors, id_col, vec_col), "topk-vectors")
     facts = base.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
+    if not facts.n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(1, facts.dim)
     length = -(-dim * dim // BLOCKS) * BLOCKS
 
@@ -200,40 +229,49 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
     _, turned = np.linalg.eigh(merged(base.select("v"), length, np.float64, gram)[: dim * dim].reshape(dim, dim))
     rotation = spark.sparkContext.broadcast(np.ascontiguousarray(turned[:, ::-1]))  # dim x dim
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    n_blocks = max(1, -(-facts.n // BLOCK_ROWS))
-    longest_first = base.withColumn("norm", -norm).repartitionByRange(n_blocks, "norm", "vec_id").sortWithinPartitions("norm", "vec_id")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    longest_first = base.withColumn("norm", -norm).repartitionByRange(max(1, -(-facts.n // BLOCK_ROWS)), "norm", "row").sortWithinPartitions("norm", "row")
     blocks = staged(_blocks(longest_first, dim, BLOCK_ROWS), "topk-blocks")
     wanted = base.where(F.col("vec_id") % every == 0)
     n_q = max(1, -(-wanted.count() // QUERY_ROWS))
-    queries = staged(_blocks(wanted.repartition(n_q, "vec_id"), dim, QUERY_ROWS).select(F.monotonically_increasing_id().alias("q"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data")), "topk-queries")
-    ends = blocks.agg(F.min("block").alias("a"), F.max("block").alias("b")).first()
-    if ends.a is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     tasks = partitions(spark)
 
-    def grid(first: int, last: int, q: DataFrame) -> DataFrame:
-        cells = q.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(blocks.hint("shuffle_merge"), "block")
-        return _searched(cells.repartition(tasks, "q", "block"), rotation, dim, k)
-
-    head = staged(_ranked(grid(ends.a, ends.a, queries.withColumn("floors", F.lit(None).cast("binary"))), k), "topk-head")
-    # A query's floor is its k-th best so far; those of a query block travel with it, sorted by identifier.
-    q_of = queries.select("q", "q_ids").mapInArrow(tidy(_members), "q long, query_id long")
-    floors = head.where(F.col("rank") == k).join(q_of, "query_id").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("query_id", "score"))).alias("f"))  # QUERY_ROWS at most
-    rest = grid(ends.a + 1, ends.b, queries.join(floors, "q", "left").mapInArrow(tidy(_with_floors), "q long, q_ids binary, q_width int, q_data binary, floors binary")) if ends.b > ends.a else None
-    found = head.select("query_id", "vec_id", "score")
-    found = found.union(rest) if rest is not None else found
+    def query_blocks(rows: DataFrame) -> DataFrame:
+        """(q, q_rows, q_ids, q_width, q_data) of queries already dealt."""
+        b = _blocks(rows, dim, QUERY_ROWS).select(F.monotonically_increasing_id().alias("q"), *[F.col(c).alias(f"q_{c}") for c in ("rows", "ids", "width", "data")])
+        return staged(b, "topk-queries")
+
+    def grid(cells: DataFrame) -> DataFrame:
+        return _searched(cells.join(blocks.hint("shuffle_merge"), "block").repartition(tasks, "q", "block"), rotation, dim, k)
+
+    first = blocks.agg(F.min("block").alias("b")).first().b
+    start = query_blocks(wanted.repartition(n_q, "row"))
+    head = staged(_ranked(grid(start.withColumns({"block": F.lit(first), "floors": F.lit(None).cast("binary")})), k), "topk-head")
+    # A query's floor is its k-th best so far; none of shorter candidates than ``reach`` gets there.
+    floor = head.where(F.col("rank") == k).select(F.col("q_row").alias("row"), F.col("score").alias("floor"))
+    q = wanted.withColumn("norm", norm).join(floor, "row", "left")
+    q = q.withColumn("reach", F.when(F.col("floor").isNull() | (F.col("norm") == 0), -1.0).otherwise(F.col("floor") / F.col("norm")))
+    q = staged(q.select("row", "vec_id", "v", "floor", "reach"), "topk-reach")
+    queries = query_blocks(q.repartitionByRange(n_q, "reach", "row").sortWithinPartitions("reach", "row"))
+    # What a block of queries needs beside its vectors: the floors in its order, and the least reach.
+    members = queries.select("q", "q_rows").mapInArrow(tidy(_members), "q long, at int, row long").join(q.select("row", "floor", "reach"), "row")
+    of_block = members.groupBy("q").agg(F.min("reach").alias("reach"), F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("floor", F.lit(NONE)).alias("floor")))), lambda x: x["floor"]).alias("floors"))  # QUERY_ROWS at most
+    # Cells are pairs of numbers until they are known to be needed.
+    near = F.col("longest") + 1e-6 * (1 + F.abs("reach")) >= F.col("reach")
+    last = blocks.where(F.col("block") != first).select("block", "longest")
+    cells = of_block.select("q", "reach").join(F.broadcast(last), near).select("q", "block") if facts.n <= BLOCK_ROWS * MOST_BLOCKS else of_block.select("q", "reach").join(last, near).select("q", "block")
+    ready = queries.join(of_block.select("q", "floors").mapInArrow(tidy(_packed_floors), "q long, floors binary"), "q")
+    found = head.drop("rank").unionByName(grid(cells.join(ready.hint("shuffle_merge"), "q")))
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _members(batches):
     for batch in batches:
-        for q, ids in zip(batch.column("q").to_pylist(), batch.column("q_ids").to_pylist(), strict=True):
-            x = np.frombuffer(ids, np.int64)
-            yield pa.RecordBatch.from_pydict({"q": pa.array([q] * len(x), pa.int64()), "query_id": pa.array(x)})
+        for q, rows in zip(batch.column("q").to_pylist(), batch.column("q_rows").to_pylist(), strict=True):
+            x = np.frombuffer(rows, np.int64)
+            yield pa.RecordBatch.from_pydict({"q": pa.array([q] * len(x), pa.int64()), "at": pa.array(np.arange(len(x)), pa.int32()), "row": pa.array(x)})
 
 
-def _with_floors(batches):
+def _packed_floors(batches):
     for batch in batches:
-        out = [None if not f else np.array([(x["query_id"], x["score"]) for x in f], np.int64).tobytes() for f in batch.column("f").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "q_ids", "q_width", "q_data")), pa.array(out, pa.binary())], names=["q", "q_ids", "q_width", "q_data", "floors"])
+        yield pa.RecordBatch.from_pydict({"q": batch.column("q"), "floors": pa.array([np.array(x, np.int64).tobytes() for x in batch.column("floors").to_pylist()], pa.binary())})
