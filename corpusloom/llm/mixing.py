@@ -7,8 +7,8 @@ time and taken while their words fit the budget.
 
 No queue is ever in one task.  Running sums go over hash buckets: sums per
 (source, bucket), offsets over those, then positions within a bucket.  The
-global order is cut the same way, by buckets of finish time, in which words are
-spread evenly because every source proceeds at its target's rate.
+global order is a range sort by finish time with sampled splitters: each partition's words are added up, and the one in which
+the budget ends is cut copy by copy.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bucket_bits, pick, word_count
+from corpusloom.llm.common import bucket_bits, partitions, pick, rows_of, with_row, word_count
 from corpusloom.sources.scratch import staged
 
 WEIGHTS = (5, 2, 1)
@@ -24,6 +24,8 @@ EPOCHS = 3
 KEY_BITS = 60
 #: Tables of sources of up to so many rows are broadcast, after a count; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: Copies that a partition of the sorted queue holds at most, about.
+SORTED_ROWS = 1_000_000
 
 
 def _key():
@@ -85,18 +87,19 @@ def plan(entries: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     c = _with_sources(c, targets, n_sources).where(F.col("target") > 0)
     c = c.select("skey", "doc_id", "k", "size", "target", "source_size", "upto", F.explode(F.array(*map(F.lit, range(epochs)))).alias("pass"))
     c = c.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("upto")).cast("double") / F.col("target"))
-    steps = 1 << bits
-    c = staged(c.withColumn("step", F.least(F.floor(F.col("finish") * steps), F.lit(2 * steps))).select("skey", "doc_id", "k", "pass", "size", "finish", "step"), "mix-queue")
-    # The step of finish time in which the budget ends, then the copies of that step one by one.
-    by_step = c.groupBy("step").agg(F.sum("size").alias("words"))
-    ends = by_step.select("step", F.sum("words").over(Window.orderBy("step")).alias("upto"), "words").where(F.col("upto") > budget)
-    end = ends.orderBy("step").select("step", (F.col("upto") - F.col("words")).alias("before")).first()
+    order = ["finish", "skey", "k", "doc_id", "pass"]
+    n = max(partitions(entries.sparkSession), -(-c.count() // SORTED_ROWS))
+    c = c.select("skey", "doc_id", "k", "pass", "size", "finish").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    c = staged(c.withColumn("part", F.spark_partition_id()), "mix-queue")
+    # The partition in which the budget ends, then its copies one by one.  A row per partition comes together here.
+    sums = c.groupBy("part").agg(F.sum("size").alias("words"))
+    ends = sums.select("part", F.sum("words").over(Window.orderBy("part")).alias("upto"), "words").where(F.col("upto") > budget)
+    end = ends.orderBy("part").select("part", (F.col("upto") - F.col("words")).alias("before")).first()
     if end is None:
-        taken = c.withColumn("ok", F.lit(True))
+        taken = c
     else:
-        order = Window.orderBy("finish", "skey", "k", "doc_id", "pass")
-        last = c.where(F.col("step") == end.step).withColumn("upto", F.lit(end.before) + F.sum("size").over(order)).where(F.col("upto") <= budget)
-        taken = c.where(F.col("step") < end.step).select("skey", "doc_id", "k", "pass").unionByName(last.select("skey", "doc_id", "k", "pass"))
+        last = c.where(F.col("part") == end.part).withColumn("upto", F.lit(end.before) + F.sum("size").over(Window.orderBy(*order))).where(F.col("upto") <= budget)
+        taken = c.where(F.col("part") < end.part).select("skey", "doc_id", "k", "pass").unionByName(last.select("skey", "doc_id", "k", "pass"))
     reach = taken.groupBy("skey").agg(F.max(F.struct("pass", "k", "doc_id")).alias("m"))
     cut = targets.join(reach, "skey", "left").select("skey", "source_size", "target", F.coalesce("m.pass", F.lit(0)).alias("full"), F.col("m.k").alias("last_k"), F.col("m.doc_id").alias("last_id"))
     return staged(cut, "mix-cut"), n_sources
@@ -130,12 +133,11 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with the columns of ``docs``.
 
-    A document without words has size 0; it is taken with its neighbours in the queue.
+    A document without words, also one whose text is null, has size 0; it is taken with its neighbours in the queue.  A null source is
+    the last; rows that repeat an identifier are taken equally often.  An empty table gives an empty result.
     """
     e = queue_entries(docs, id_col, text_col, source_col)
     cut, n = plan(staged(e, "mix-entries"), weights, epochs)
-    names = docs.columns
-    held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].alias("doc_id"), F.coalesce(F.concat(F.lit("s"), docs[source_col]), F.lit("n")).alias("skey"))
-    held = passes(held.withColumn("k", _key()), cut, n).where(F.col("copies") > 0)
-    once = held.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return once.select(*[F.col("row").getField(c).alias(c) for c in names])
+    held = with_row(docs, doc_id=id_col, source=source_col).withColumns({"skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "k": _key()})
+    held = passes(held, cut, n).where(F.col("copies") > 0)
+    return rows_of(held.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs.columns)
