@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, partitions, pick
+from corpusloom.llm.common import ascii_lower, partitions, pick, rows_of, with_row
 
 PREFIX = 24
 
@@ -70,8 +70,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    names = docs.columns
-    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in names]).alias("row"))
-    d = d.select("doc_id", _norm("text").alias("norm"), "row")
-    return _marked(d, keep).where("kept").select(*[F.col("row").getField(c).alias(c) for c in names])
+    """The rows of ``docs`` that stay, with their columns: one of each group of equal texts, null and empty ones being one group.
+
+    Of equal texts under one identifier one row stays; an identifier that is null stays only where its group has no
+    other.  An empty table gives an empty result.
+    """
+    d = with_row(docs, doc_id=id_col, text=text_col).select("doc_id", _norm("text").alias("norm"), "row")
+    return rows_of(_marked(d, keep).where("kept"), docs.columns)

@@ -10,15 +10,11 @@ from corpusloom.llm import mixing, sharding, topk_search
 
 
 def brute_topk(rows, k=20):
-    v = {}
-    for i, x in rows:
-        if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
-            y = [math.floor(64 * c) for c in x]
-            v[i] = min(v.get(i, y), y)
+    v = [(i, [math.floor(64 * c) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
     out = []
-    for q in v:
+    for n, (q, x) in enumerate(v):
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(x, y)), c) for m, (c, y) in enumerate(v) if m != n)[:k]
             out += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
     return sorted(out)
 
@@ -28,12 +24,41 @@ def test_topk_equals_brute_force(spark, n, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK_ROWS", 128)
     rng = np.random.default_rng(n)
     rows = [(i, [float(x) for x in rng.normal(size=8) * (1 + i % 7)]) for i in range(n)] + [(n + k, [1.0] * 8) for k in range(60)]
-    rows += [(2000, None), (2020, [1.0, None] + [0.0] * 6), (2040, [float("nan")] * 8), (2060, [float("inf")] * 8), (None, [1.0] * 8), (2080, [0.5, 0.5]), (2100, []), (0, [9.0] * 8)]
+    rows += [(2000, None), (2020, [1.0, None] + [0.0] * 6), (2040, [float("nan")] * 8), (2060, [float("inf")] * 8), (None, [1.0] * 8), (2080, [0.5, 0.5]), (2100, []), (0, [9.0] * 8), (0, [9.0] * 8), (1, [2.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' AS v", "1 AS block", "2 AS q", "0 AS score")
     assert sorted(map(tuple, topk_search.top_k(df).collect())) == brute_topk(rows)
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_prunes_pairs_and_cells(spark, monkeypatch):
+    """Vectors whose spectrum and lengths decay: most pairs get no partial sum or no score, and most cells aren't formed."""
+    rng = np.random.default_rng(1)
+    n, dim = 6000, 48
+    v = rng.normal(size=(n, dim)) * 0.75 ** np.arange(dim) * 20 * np.exp(rng.normal(size=(n, 1)))
+    turn, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
+    m = np.floor(64 * (v @ turn)).astype(np.int64)
+    _, axes = np.linalg.eigh((m.T @ m).astype(float))
+    count = [0, 0, 0]
+    q = np.arange(0, n, 20)
+    best = topk_search.block_topk(q, m[q], np.arange(n), np.arange(n), m, np.full(len(q), topk_search.NONE), np.ascontiguousarray(axes[:, ::-1]), 20, count)
+    assert len(best.query) == 20 * len(q) and count[1] < 0.5 * count[0] and count[2] < 0.1 * count[0]
+    scores = m[q] @ m.T
+    scores[np.arange(len(q)), q] = -(1 << 60)
+    assert (best.score.reshape(-1, 20) == -np.sort(-scores, axis=1)[:, :20]).all()
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 50)
+    cells = []
+    real = topk_search._searched
+    monkeypatch.setattr(topk_search, "_searched", lambda c, *a: cells.append(c.count()) or real(c, *a))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v @ turn)], "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df).collect()
+    want = {int(i): sorted(map(int, x))[::-1][:20] for i, x in zip(q, scores, strict=True)}
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append(r.score)
+    assert by == want and cells[0] >= 6 and cells[1] < 0.5 * 6 * 11
+
+
 def test_topk_of_huge_components(spark):
     rows = [(0, [1e12, 2.0]), (20, [3e9, 1.0]), (1, [-5e11, 7.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
