@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold, pick, small_batches
 from corpusloom.llm.pieces import NO_LETTER, letter_table, mixed, prefix_sums, slices, tidy
+from corpusloom.sources.scratch import staged
 
 #: Characters that stand for letters.
 LOOKALIKES = {"4": "a", "@": "a", "3": "e", "€": "e", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z"}
@@ -273,13 +274,14 @@ class Scorer:
 def _sampled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, float]]:
     """(doc_id, text, toxic) of about ``most`` rows of each label outside the held-out fold; and the share drawn by label."""
     known = pick(labels, doc_id="doc_id", toxic="toxic").where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0))
-    known = known.select("doc_id", (F.col("toxic").cast("double") != 0).cast("int").alias("toxic"))
+    known = known.select("doc_id", (F.col("toxic").cast("double") != 0).cast("int").alias("toxic")).distinct()
     rows = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     rate = {k: min(1.0, most / n) for k, n in rows.items()}
     least = F.when(F.col("toxic") == 1, int((1 << 30) * rate.get(1, 1.0))).otherwise(int((1 << 30) * rate.get(0, 1.0)))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    drawn = docs.where(F.col("text").isNotNull() & (draw < int((1 << 30) * max(rate.values(), default=1.0)))).join(known.where(draw < least), "doc_id")
-    return drawn.select("doc_id", "text", "toxic"), rate
+    wanted = staged(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < least), "toxicity-sample")
+    if wanted.count() <= 4 * most:  # as drawn, about 2 * most; broadcast, so that no text but these is moved
+        wanted = F.broadcast(wanted)
+    return docs.where(F.col("text").isNotNull()).join(wanted, "doc_id").select("doc_id", "text", "toxic"), rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
