@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -11,8 +12,17 @@ from corpusloom.functions import paths
 from corpusloom.operators import scan
 from corpusloom.operators.symbols import public_api
 
-#: What a module is for, by parts of its path, the first that applies.
-PURPOSES = [(("auth",), "Authentication and authorization"), (("db", "repo"), "Data access"), (("api", "route"), "API and routing"), (("ui", "page", "component"), "User interface"), (("native", "napi", "cpp"), "Native bindings"), (("test", "spec"), "Tests")]
+#: What a module is for, by the words of its path: the purpose with most words wins, the later word where they draw.
+PURPOSES = {
+    "access control": {"auth", "login", "session", "token", "permission", "account", "user", "users"},
+    "storage": {"db", "database", "store", "storage", "repository", "model", "models", "migration", "migrations", "cache"},
+    "service interface": {"api", "route", "routes", "router", "controller", "handler", "handlers", "server", "http", "rpc"},
+    "screens": {"ui", "view", "views", "page", "pages", "component", "components", "widget", "widgets", "screen"},
+    "native code": {"native", "ffi", "napi", "cpp", "jni", "bindings"},
+    "checks": {"test", "tests", "spec", "specs", "bench", "benches", "fixture", "fixtures"},
+    "tooling": {"tool", "tools", "script", "scripts", "build", "ci", "deploy"},
+    "documentation": {"doc", "docs", "example", "examples"},
+}
 SHOWN = {"entries": 12, "modules": 16, "api": 20, "configs": 16, "recent": 12}
 
 
@@ -35,8 +45,10 @@ def modules(files: DataFrame, key_files: int = 5) -> DataFrame:
 
 
 def purpose(path: str) -> str:
-    low = path.lower()
-    return next((what for marks, what in PURPOSES if any(m in low for m in marks)), "General module")
+    words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", path)]
+    scores = {what: (sum(w in marks for w in words), max((k for k, w in enumerate(words) if w in marks), default=-1)) for what, marks in PURPOSES.items()}
+    best = max(scores, key=scores.__getitem__)
+    return best if scores[best][0] else "code"
 
 
 def entry_kind(path: str) -> str:

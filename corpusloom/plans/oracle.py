@@ -90,7 +90,7 @@ common AS (SELECT query_id, doc_id, count(*) AS n FROM dw JOIN qwd USING (w) GRO
 lex AS (SELECT query_id, doc_id, round(n / (n + 1), 6) AS score FROM common QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(n / (n + 1), 6) DESC, doc_id) <= 30),
 fused AS (
   SELECT query_id, doc_id, round(0.25 * coalesce(l.score, 0) + 0.20 * CASE WHEN t.score IS NULL THEN 0 ELSE least(t.score, 1.0) END, 8) AS score,
-    concat_ws(',', CASE WHEN l.score IS NOT NULL THEN 'sqlite_fts' END, CASE WHEN t.score IS NOT NULL THEN 'vector_search' END) AS reasons
+    concat_ws(',', CASE WHEN l.score IS NOT NULL THEN 'bm25' END, CASE WHEN t.score IS NOT NULL THEN 'tfidf' END) AS reasons
   FROM lex l FULL JOIN r t USING (query_id, doc_id)),
 top12 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM fused QUALIFY rank <= 12)"""
 _G = confidence.PROFILES["Generic"]

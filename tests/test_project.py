@@ -61,6 +61,18 @@ def test_symbols():
     assert symbols.symbols_of("a.java", "class A {}") == [] and symbols.symbols_of("a.rs", "") == []
 
 
+@pytest.mark.parametrize(("path", "source", "want"), [
+    ("a.rs", "/* fn no() {} */\n#[derive(Debug)]\npub(crate) const fn size() -> u8 { let s = \"fn x() {\"; 'a' }\nimpl X {\n    async fn go(&self) {}\n}\nconst N: u8 = 1;", {("size", "Function", 3, "Public"), ("go", "Function", 5, "Unknown"), ("N", "Const", 7, "Unknown")}),
+    ("a.ts", "export default async function f() {\n  if (a) { run(); }\n}\nexport const enum E { A }\nclass K<T> {\n  private get(x: T): void {\n    call(x);\n  }\n  static of<U>(u: U) { return u; }\n}\nexport {\n  K,\n  f as g,\n};\nlet a = 'class Z {';", {("f", "Function", 1, "Public"), ("E", "Enum", 4, "Public"), ("K", "Class", 5, "Unknown"), ("get", "Method", 6, "Internal"), ("of", "Method", 9, "Unknown"), ("K", "Export", 12, "Public"), ("f", "Export", 13, "Public"), ("a", "Const", 15, "Unknown")}),
+    ("a.cpp", "#include <x.h>\nnamespace n {\nstatic int add(int a, int b) {\n  return mul(a, b);\n}\nclass Box : public Base {\n  int size() const { return 1; }\n};\nstruct Box *use(struct Box *b);\nvoid Box::grow(int n) {\n}\nenum class Color { Red };\n}", {("add", "Function", 3, "Internal"), ("Box", "Class", 6, "Unknown"), ("size", "Method", 7, "Unknown"), ("grow", "Function", 10, "Unknown"), ("Color", "Enum", 12, "Unknown")}),
+    ("a.go", "type A interface {\n}\ntype B = int\nfunc Map[T any](x T) T {\n}", {("A", "Interface", 1, "Unknown"), ("Map", "Function", 4, "Unknown")}),
+    ("a.py", "class A:\n    @x\n    def b(self): ...\ntext = 'def no(): pass'\n", {("A", "Class", 1, "Unknown"), ("b", "Function", 3, "Unknown")}),
+    ("a.py", "print 'old'\ndef c(): pass\n", {("c", "Function", 2, "Unknown")}),
+])
+def test_declarations(path, source, want):
+    assert {(s[0], s[1], s[2], s[5]) for s in symbols.symbols_of(path, source)} == want
+
+
 def test_references(spark):
     files = spark.createDataFrame([("a.rs", "fn login() {}\nlogin(); <login> x.login")], "path string, text string")
     s = spark.createDataFrame([("a.rs", "login", 1)], "file_path string, name string, line_start int")
@@ -133,7 +145,7 @@ def test_http_embeddings_are_sorted_and_unit(spark):
 def test_retrieve_and_context(spark, root, tmp_path):
     e = Engine.open(spark, root)
     result = e.retrieve(fixture.QUESTION)
-    assert result.chunks[0].path == "src/basket.rs" and "symbol_lookup" in result.chunks[0].reasons
+    assert result.chunks[0].path == "src/basket.rs" and "symbol" in result.chunks[0].reasons
     assert "src/lib.rs" in [c.path for c in result.chunks[:3]] and result.report.confidence > 0.5
     assert e.remember(result).memory.files and not e.memory.files
     text, used, sections = budget.build_context("t", result.skeleton, e.memory.render(), [budget.render_chunk(c, i) for i, c in enumerate(result.chunks)], "g", 100)
