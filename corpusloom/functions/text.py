@@ -53,8 +53,20 @@ def words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(ascii_lower(text), F.lit(r"[\p{L}\p{N}_$]+"), F.lit(0)), lambda w: F.length(w) >= 2)
 
 
+def _plain_tokens(text: Column) -> Column:
+    """``code_tokens`` of a text without ``_``, ``$`` and inner capitals: each word twice, by patterns on the text as a whole."""
+    spaced = F.regexp_replace(ascii_lower(text), r"[^\p{L}\p{N}]+", " ")
+    kept = F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), rf"(?<= )(?:.|{'|'.join(CODE_STOP_WORDS)}) ", "")
+    return F.filter(F.split(F.trim(F.regexp_replace(kept, "([^ ]+) ", "$1 $1 ")), " "), lambda w: w != "")
+
+
 def code_tokens(text: Column) -> Column:
     """Each word and its pieces between ``_`` and ``$``, in order, without stop words."""
+    return F.when(text.rlike(r"[_$]|\p{Ll}\p{Lu}"), _cut_tokens(text)).otherwise(_plain_tokens(text))
+
+
+def _cut_tokens(text: Column) -> Column:
+    """``code_tokens`` word by word."""
 
     def pieces(w: Column) -> Column:
         parts = F.split(F.regexp_replace(w, r"(\p{Ll})(\p{Lu})", "$1_$2"), "[_$]", -1)
@@ -91,9 +103,10 @@ ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.islower() and le
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 
 
-def fts_words(text: Column) -> Column:
-    """Words of the full-text index: letters and digits, lower-cased, without diacritics."""
-    return F.regexp_extract_all(F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+def fts_line(text: Column) -> Column:
+    """Words of the full-text index, each between two blanks: letters and digits, lower-cased, without diacritics."""
+    plain = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), ACCENTED, PLAIN)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def excerpt(text: Column, line: Column | int, context: Column | int) -> Column:

@@ -77,19 +77,16 @@ def fts_phrases(query: str) -> list[list[str]]:
 
 
 def _matches(phrases: list[list[str]], columns: list[Column]) -> Column:
-    """Array with the number of hits of each phrase in arrays of words, then the number of words; hits don't cross columns."""
+    """Array with the number of hits of each phrase in lines of words, then the number of words; hits don't cross columns.
 
-    def hits(col: Column, phrase: list[str]) -> Column:
-        if len(phrase) == 1:
-            return F.size(F.filter(col, lambda w: w == phrase[0]))
-        at = F.sequence(F.lit(1), F.greatest(F.size(col) - len(phrase) + 1, F.lit(1)))
-        same = lambda i: F.slice(col, i, len(phrase)) == F.array(*map(F.lit, phrase))
-        return F.size(F.filter(at, same))
+    Counted by patterns on the line, so no array of words is made.
+    """
 
-    def counted(col: Column) -> Column:
-        return text.let(col, lambda w: F.array(*[hits(w, p).cast("long") for p in phrases], F.size(w).cast("long")))
+    def counted(line: Column) -> Column:
+        hits = [F.regexp_count(line, F.lit(f"(?<= ){p[0]}(?={''.join(f' {w}' for w in p[1:])} )")).cast("long") for p in phrases]
+        return F.array(*hits, F.regexp_count(line, F.lit("[^ ]+")).cast("long"))
 
-    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), map(counted, columns))
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [text.let(c, counted) for c in columns])
 
 
 def bm25_search(docs: DataFrame, query: str, k: int, columns: list[str] = ("text",), key: str = "doc_id", ties: list[str] = ()) -> DataFrame:
@@ -102,7 +99,7 @@ def bm25_search(docs: DataFrame, query: str, k: int, columns: list[str] = ("text
     if not phrases:
         return docs.select(key).limit(0).select(key, F.lit(0.0).alias("score"), F.lit(0.0).alias("fts_score"), F.lit(0).alias("rank"))
     words = [F.array_join(c, " ") if dict(docs.dtypes)[c].startswith("array") else F.coalesce(F.col(c), F.lit("")) for c in columns]
-    counted = docs.select(key, *ties, _matches(phrases, [text.fts_words(w) for w in words]).alias("f"))
+    counted = docs.select(key, *ties, _matches(phrases, [text.fts_line(w) for w in words]).alias("f"))
     counted = counted.select(key, *ties, F.slice("f", 1, len(phrases)).alias("f"), F.element_at("f", -1).alias("len"))
     flags = [F.sum((F.get("f", F.lit(i)) > 0).cast("long")).alias(f"n{i}") for i in range(len(phrases))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *flags)

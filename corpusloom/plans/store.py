@@ -59,29 +59,44 @@ class IndexStore:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _pointers(self) -> list[str]:
+        """Names of the numbered pointers, the newest last."""
+        fs, path = self._fs()
+        top = path(self.path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(top) if x.getPath().getName().startswith("CURRENT-")) if fs.exists(top) else []
+
     def version(self) -> str | None:
         """The current version's folder, null without an index."""
         fs, path = self._fs()
-        pointer = path(f"{self.path}/CURRENT")
-        if not fs.exists(pointer):
+        found = self._pointers()
+        if not found:
             return None
-        stream = fs.open(pointer)
+        stream = fs.open(path(f"{self.path}/{found[-1]}"))
         try:
             return bytes(stream.readAllBytes()).decode().strip()
         finally:
             stream.close()
 
     def _point(self, version: str) -> None:
+        """Name ``version`` in a new pointer, which takes its place by one rename; a reader finds the one before until then.
+
+        What pointers before the last two name is removed: a reader of the last version but one can go on.
+        """
         fs, path = self._fs()
-        new = path(f"{self.path}/CURRENT-{uuid.uuid4().hex}")
+        held = self._pointers()
+        number = int(held[-1].split("-")[1]) + 1 if held else 0
+        new = path(f"{self.path}/.pointer-{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(version.encode()))
         out.close()
-        current = path(f"{self.path}/CURRENT")
-        if fs.exists(current):
-            fs.delete(current, False)
-        if not fs.rename(new, current):
-            raise OSError(f"can't replace {current}")
+        if not fs.rename(new, path(f"{self.path}/CURRENT-{number:012}")):
+            raise OSError(f"another writer has made version {number} of {self.path}")
+        for name in held[:-1]:
+            stream = fs.open(path(f"{self.path}/{name}"))
+            old = bytes(stream.readAllBytes()).decode().strip()
+            stream.close()
+            fs.delete(path(f"{self.path}/{old}"), True)
+            fs.delete(path(f"{self.path}/{name}"), False)
 
     def _write(self, tables: dict[str, DataFrame], meta: dict[str, str]) -> dict[str, int]:
         version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"

@@ -1,11 +1,13 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is the cluster's ``spark.checkpoint.dir``.  A private temporary
-folder is taken only where the session names none, as in local tests.
+folder is taken only where the session names none and runs on one machine, as in local tests; it goes when Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 

@@ -1,9 +1,10 @@
-"""A source tree as a table, read by a Python data source with a partition per top-level entry."""
+"""A source tree as a table, read by a Python data source whose tasks share out large folders."""
 
 from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,44 +36,81 @@ def guarded(root: str, path: str) -> str:
     return real
 
 
-class _Entry(InputPartition):
-    def __init__(self, rel: str, folder: bool):
-        self.rel, self.folder = rel, folder
+#: Files that a task reads of one folder, about, and tasks from which folders are left whole.
+FILES_A_TASK, ENOUGH_TASKS = 256, 256
+
+
+class _Part(InputPartition):
+    """The files of a folder whose name's hash is ``part`` of ``parts``, or with ``parts`` 0 the whole tree below it."""
+
+    def __init__(self, rel: str, part: int = 0, parts: int = 0):
+        self.rel, self.part, self.parts = rel, part, parts
 
 
 class _TreeReader(DataSourceReader):
     def __init__(self, root: str, expression: str, content: bool):
         self.root, self.rules, self.content = root, IgnoreRules(expression), content
 
+    def listed(self, rel: str) -> Iterator[tuple[str, bool]]:
+        """(path, whether it is a folder) of what no rule leaves out, links apart; nothing of a folder that is gone or closed."""
+        try:
+            with os.scandir(os.path.join(self.root, rel)) as entries:
+                for e in entries:
+                    path = f"{rel}/{e.name}" if rel else e.name
+                    if not e.is_symlink() and not self.rules.ignores(path):
+                        yield path, e.is_dir(follow_symlinks=False)
+        except OSError:
+            return
+
     def partitions(self):
-        with os.scandir(self.root) as entries:
-            found = [_Entry(e.name, e.is_dir(follow_symlinks=False)) for e in entries if not e.is_symlink() and not self.rules.ignores(e.name)]
-        return sorted(found, key=lambda e: e.rel) or [_Entry("", False)]
+        """Folders level by level until there are tasks enough; names of files aren't kept, so the driver's part stays small."""
+        out: list[_Part] = []
+        level = [""]
+        while level:
+            if len(out) + len(level) > ENOUGH_TASKS:
+                return out + [_Part(rel) for rel in level]
+            below = []
+            for rel in level:
+                files = 0
+                for path, folder in self.listed(rel):
+                    if folder:
+                        below.append(path)
+                    else:
+                        files += 1
+                parts = -(-files // FILES_A_TASK)
+                out += [_Part(rel, k, parts) for k in range(parts)]
+            level = sorted(below)
+        return out or [_Part("", 0, 1)]
 
     def read(self, partition) -> Iterator[tuple]:
-        if not partition.rel:
-            return
-        if not partition.folder:
-            yield self.row(partition.rel)
-            return
-        for folder, names, files in os.walk(os.path.join(self.root, partition.rel)):
-            rel = os.path.relpath(folder, self.root).replace(os.sep, "/")
-            names[:] = sorted(n for n in names if not self.rules.ignores(f"{rel}/{n}") and not os.path.islink(os.path.join(folder, n)))
-            for f in sorted(files):
-                if not self.rules.ignores(f"{rel}/{f}") and not os.path.islink(os.path.join(folder, f)):
-                    yield self.row(f"{rel}/{f}")
-
-    def row(self, rel: str) -> tuple:
+        folders = [partition.rel]
+        while folders:
+            rel = folders.pop()
+            files = []
+            for path, folder in self.listed(rel):
+                if folder and not partition.parts:
+                    folders.append(path)
+                elif not folder and (not partition.parts or zlib.crc32(path.encode("utf-8", "surrogateescape")) % partition.parts == partition.part):
+                    files.append(path)
+            yield from filter(None, map(self.row, sorted(files)))
+
+    def row(self, rel: str) -> tuple | None:
+        """A file's row, null for one that is gone; of one that can't be read text and hash are null."""
         path = os.path.join(self.root, rel)
-        stat = os.stat(path)
         data = text = None
-        if self.content:
-            with open(path, "rb") as f:
-                data = f.read()
-            try:
+        try:
+            stat = os.stat(path)
+        except OSError:
+            return None
+        try:
+            if self.content:
+                with open(path, "rb") as f:
+                    data = f.read()
                 text = data.decode()
-            except UnicodeDecodeError:
-                text = None
+        except FileNotFoundError:
+            return None
+        except (OSError, UnicodeDecodeError):
+            pass
         return rel, stat.st_size, int(stat.st_mtime), hashlib.sha256(data).hexdigest() if data is not None else None, text
 
 
