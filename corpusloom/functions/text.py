@@ -54,7 +54,7 @@ def words(text: Column) -> Column:
 
 
 def _plain_tokens(text: Column) -> Column:
-    """``code_tokens`` of a text without ``_``, ``$`` and inner capitals: each word twice, by patterns on the text as a whole."""
+    """``code_tokens`` of a text without ``_``, ``$`` and, once lower-cased, inner capitals: each word twice, by patterns on the text as a whole."""
     spaced = F.regexp_replace(ascii_lower(text), r"[^\p{L}\p{N}]+", " ")
     kept = F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), rf"(?<= )(?:.|{'|'.join(CODE_STOP_WORDS)}) ", "")
     return F.filter(F.split(F.trim(F.regexp_replace(kept, "([^ ]+) ", "$1 $1 ")), " "), lambda w: w != "")
@@ -62,7 +62,7 @@ def _plain_tokens(text: Column) -> Column:
 
 def code_tokens(text: Column) -> Column:
     """Each word and its pieces between ``_`` and ``$``, in order, without stop words."""
-    return F.when(text.rlike(r"[_$]|\p{Ll}\p{Lu}"), _cut_tokens(text)).otherwise(_plain_tokens(text))
+    return F.when(ascii_lower(text).rlike(r"[_$]|\p{Ll}\p{Lu}"), _cut_tokens(text)).otherwise(_plain_tokens(text))
 
 
 def _cut_tokens(text: Column) -> Column:
