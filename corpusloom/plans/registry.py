@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans.oracle import ORACLE
-from corpusloom.plans.queries import QUERIES
+from corpusloom.plans import corpus_files, oracle, queries
+
+QUERIES = queries.QUERIES | corpus_files.QUERIES
+ORACLE = oracle.ORACLE | corpus_files.oracle(oracle.LINES, oracle.LINE_COUNT)
 
 __all__ = ["ORACLE", "QUERIES"]
