@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunks, graph, references, retrieval, scan, symbols
+from corpusloom.sources.scratch import staged
 from corpusloom.sources.tables import table
 
 IDENT = "[A-Za-z_$][A-Za-z0-9_$]*"
@@ -72,7 +73,7 @@ def document_graph_summary(spark, d):
 
 
 def document_graph_expand(spark, d):
-    nodes, edges = graph.build(*_both(spark, d))
+    nodes, edges = (staged(x, "document-graph") for x in graph.build(*_both(spark, d)))  # read for every hop
     seeds = files(spark, d).where("doc_id = 20").select("path")
     return graph.expand_files(nodes, edges.where("kind = 'Tests' OR kind = 'InModule'"), seeds, 2)
 

@@ -1,14 +1,15 @@
 """Versioned Parquet index: full builds, incremental refresh, summaries and snapshots.
 
-Every build writes a version folder; a pointer file names the current one and is replaced
-in one step after all tables are written, so readers see whole versions only.  The pointer
-and the metadata are small text tables written by Spark, so any file system will do.
+Every build writes a version folder; a new, higher numbered pointer file names it, in one rename
+after all tables are written, so readers see whole versions only.  Files are read once and
+tables are written at the same time.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths, text
 from corpusloom.operators import chunks as chunk_ops
 from corpusloom.operators import freshness, graph, references, scan, symbols
+from corpusloom.sources.scratch import staged
 
 SCHEMA_VERSION, VECTOR_VERSION = 2, 1
 REFRESH_LIMIT = 128
@@ -41,7 +43,7 @@ def derived(files: DataFrame) -> dict[str, DataFrame]:
     """All index tables of (path, size_bytes, modified_unix, sha256, text)."""
     f = scan.classified(files.where("text IS NOT NULL")).where("is_source OR is_config")
     code = f.where("is_source")
-    s = symbols.extract_symbols(code)
+    s = staged(symbols.extract_symbols(code), "index-symbols")  # read by four tables
     nodes, edges = graph.build(f, s)
     every = scan.classified(files)
     names = [c.split()[0] for c in TABLES["files"].split(", ")]
@@ -100,11 +102,16 @@ class IndexStore:
 
     def _write(self, tables: dict[str, DataFrame], meta: dict[str, str]) -> dict[str, int]:
         version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{version}/{name}")
-        self.spark.createDataFrame(list(meta.items()), "key string, value string").coalesce(1).write.parquet(f"{self.path}/{version}/meta")
+        every = tables | {"meta": self.spark.createDataFrame(list(meta.items()), "key string, value string").coalesce(1)}
+
+        def write(name: str) -> int:
+            every[name].write.parquet(f"{self.path}/{version}/{name}")
+            return self.spark.read.parquet(f"{self.path}/{version}/{name}").count()
+
+        with ThreadPoolExecutor(len(every)) as pool:  # jobs of small tables share the cluster
+            counts = dict(zip(every, pool.map(write, every), strict=True))
         self._point(version)
-        return {name: self.spark.read.parquet(f"{self.path}/{version}/{name}").count() for name in tables}
+        return {name: counts[name] for name in tables}
 
     def read(self, name: str) -> DataFrame:
         version = self.version()
@@ -118,7 +125,7 @@ class IndexStore:
 
     def build(self, files: DataFrame) -> dict[str, int]:
         """Write all tables anew; rows by table."""
-        return self._write(derived(files), {"schema_version": str(SCHEMA_VERSION), "built_unix": str(int(time.time()))})
+        return self._write(derived(staged(files, "index-files")), {"schema_version": str(SCHEMA_VERSION), "built_unix": str(int(time.time()))})
 
     def changed(self, files: DataFrame) -> DataFrame:
         """(path, status) of the files that differ from the index."""
@@ -138,15 +145,16 @@ class IndexStore:
         """
         if not self.usable():
             return Refreshed("Rebuilt", 0, self.build(files))
-        changed = self.changed(files).select("path")
+        changed = staged(self.changed(files).select("path"), "index-changed")
         touched = changed.limit(limit + 1).count()
         if touched == 0:
             return Refreshed("Unchanged", 0, {})
         if touched > limit:
             return Refreshed("Rebuilt", touched, self.build(files))
+        files = staged(files, "index-files")
         f = scan.classified(files.where("text IS NOT NULL")).where("is_source OR is_config")
         new = f.join(F.broadcast(changed), "path", "left_semi")  # REFRESH_LIMIT rows at most
-        new_symbols = symbols.extract_symbols(new.where("is_source"))
+        new_symbols = staged(symbols.extract_symbols(new.where("is_source")), "index-symbols")
         s = symbols.replaced(self.read("symbols"), changed, new_symbols)
         c = symbols.replaced(self.read("chunks"), changed, chunk_ops.chunk_files(new, new_symbols))
         nodes, edges = graph.build(f, s)
