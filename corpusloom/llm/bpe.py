@@ -15,8 +15,8 @@ An arc exists when no inherited fork removed it, or removed the arc it was built
 from before it was built.  Looked-up arcs are kept in a table.
 
 A word's symbols are encoded by one pass over its positions.  Labels are compiled into a table of transitions
-(state, symbol) -> state, in which a state names the token that it completes; a second table holds the automaton's arcs
-(token, token) as they are looked up.  Every prefix has one
+(state, symbol) -> state, in which a state names the token that it completes; a second table holds the automaton's arcs,
+(token, token) -> allowed, as they are looked up.  Every prefix has one
 accepted token sequence, so a position keeps its last token, and an arc's token is
 taken if the automaton has the arc from the state of the token before it.
 Decoding emits the arcs' labels.
@@ -40,6 +40,7 @@ from corpusloom.llm.common import pick, small_batches
 from corpusloom.llm.pieces import tidy
 
 NEVER = 1 << 60
+NOTHING: dict[int, bool] = {}
 #: Looked-up arcs that a worker keeps; encoded words that it keeps for good once seen twice, and words seen once lately.
 KEEP_ARCS, KEEP_WORDS, RECENT_WORDS = 200_000, 160_000, 40_000
 #: The tokenizer file's split in Python's engine; it is right for texts without the characters of ODD.  For other
@@ -63,17 +64,15 @@ class MergeAutomaton:
         for label, t in vocab.items():
             self.labels[t] = label
         self.suffix = suffix
-        #: Transitions by state << 16 | symbol, and the token that a state completes, or -1; state 0 begins a token.
-        self.step: dict[int, int] = {}
-        self.token: list[int] = [-1]
+        #: The first state of the table of transitions: a state maps a symbol to the next state, and "" to the token that it
+        #: completes, or -1.
+        self.start: dict = {"": -1}
         for label, t in vocab.items():
             if not label.endswith(suffix):
-                state = 0
+                state = self.start
                 for c in label:
-                    state = self.step.setdefault(state << 16 | ord(c), len(self.token))
-                    if state == len(self.token):
-                        self.token.append(-1)
-                self.token[state] = t
+                    state = state.setdefault(c, {"": -1})
+                state[""] = t
         self.final = {x[: -len(suffix)]: t for x, t in vocab.items() if x.endswith(suffix) and x != suffix}
         self.longest_final = max(map(len, self.final), default=0)
         self.gadgets: dict[tuple[int, int], int] = {}
@@ -83,7 +82,9 @@ class MergeAutomaton:
             u, v, w = vocab[left], vocab[right], vocab.get(left + right)
             if w is not None and self.allows(u, v):
                 self._apply(step, u, v, w)
-        self.arcs: dict[int, bool] = {}
+        #: The table of arcs: by the token before, whether the automaton has the arc of a token; filled as they are looked up.
+        self.arcs: dict[int, dict[int, bool]] = {}
+        self.held = 0
 
     def _apply(self, step: int, u: int, v: int, w: int) -> None:
         inherited = self.lineage.get(v, ((v, NEVER),))
@@ -106,12 +107,12 @@ class MergeAutomaton:
             before, b = made
 
     def arc(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= KEEP_ARCS:
-                self.arcs.clear()
-            found = self.arcs[key] = self.allows(a, b)
+        """``allows``, put into the table."""
+        if self.held >= KEEP_ARCS:
+            self.arcs.clear()
+            self.held = 0
+        self.held += 1
+        found = self.arcs.setdefault(a, {})[b] = self.allows(a, b)
         return found
 
     def encode(self, symbols: str) -> list[int]:
@@ -119,25 +120,33 @@ class MergeAutomaton:
         n = len(symbols)
         if not n:
             return []
-        step, token, final, arc, longest = self.step.get, self.token, self.final.get, self.arc, self.longest_final
-        codes = [*map(ord, symbols)]
+        final, arcs, arc, longest, start = self.final.get, self.arcs, self.arc, self.longest_final, self.start
         last: list[int] = [-1] * (n + 1)
         came = [0] * (n + 1)
+        inner = symbols[:-1]
         for i in range(n):
             p = last[i]
             if i and p < 0:
                 continue
-            state = 0
-            for e in range(i + 1, n):
-                state = step(state << 16 | codes[e - 1])
+            known = arcs.get(p, NOTHING)
+            state, e = start, i
+            for c in inner[i:] if i else inner:
+                state = state.get(c)
                 if state is None:
                     break
-                t = token[state]
-                if t >= 0 and last[e] < 0 and (not i or arc(p, t)):
-                    last[e], came[e] = t, i
-            if n - i <= longest and (t := final(symbols[i:])) is not None and (not i or arc(p, t)):
-                last[n], came[n] = t, i
-                break
+                e += 1
+                if last[e] < 0 and (t := state[""]) >= 0:
+                    if i:
+                        ok = known.get(t)
+                        if ok or ok is None and arc(p, t):
+                            last[e], came[e] = t, i
+                    else:
+                        last[e], came[e] = t, i
+            if n - i <= longest and (t := final(symbols[i:])) is not None:
+                ok = known.get(t) if i else True
+                if ok or ok is None and arc(p, t):
+                    last[n], came[n] = t, i
+                    break
         out, i = [], n
         while i > 0:
             out.append(last[i])
@@ -217,10 +226,13 @@ class Tokenizer:
 
     def encode(self, text: str) -> tuple[str, str]:
         """Ids and labels of a text, each joined by single spaces."""
-        if self.cut is None or len(parts := self.cut.split(text)) == 1:
+        if not any(x in text for x in self.special):
             words = self.found(text)
-            return " ".join([x[0] for x in words]), " ".join([x[1] for x in words])
-        found = [(str(self.special[x]), x) if k % 2 else self.encode(x) for k, x in enumerate(parts)]
+            if not words:
+                return "", ""
+            ids, labels = zip(*words, strict=True)
+            return " ".join(ids), " ".join(labels)
+        found = [(str(self.special[x]), x) if k % 2 else self.encode(x) for k, x in enumerate(self.cut.split(text))]
         return " ".join(i for i, _ in found if i), " ".join(s for i, s in found if i)
 
 
