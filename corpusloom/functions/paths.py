@@ -12,13 +12,22 @@ LANGUAGES = {
     "kt": "Kotlin", "kts": "Kotlin", "swift": "Swift", "dart": "Dart", "cs": "C#", "rb": "Ruby", "php": "PHP", "vue": "Vue", "svelte": "Svelte",
 }
 #: Names of configuration files, names and paths of entry points, further text extensions.
-CONFIG_NAMES = (
-    "Cargo.toml package.json pubspec.yaml oh-package.json5 CMakeLists.txt build-profile.json5 hvigorfile.ts module.json5 tsconfig.json vite.config.ts "
-    "next.config.js pyproject.toml requirements.txt go.mod pom.xml build.gradle settings.gradle"
-).split()
-ENTRY_NAMES = "main.rs lib.rs index.ts index.tsx main.ts main.js App.ets EntryAbility.ets Index.ets CMakeLists.txt module.json5 hvigorfile.ts".split()
-ENTRY_PATHS = "entry/src/main/ets/entryability/EntryAbility.ets entry/src/main/ets/pages/Index.ets entry/src/main/module.json5 oh-package.json5 build-profile.json5".split()
-TEXT_EXTENSIONS = "md txt toml json json5 yaml yml".split()
+CONFIG_NAMES = [
+    "Cargo.toml", "package.json", "pubspec.yaml", "oh-package.json5", "CMakeLists.txt", "build-profile.json5", "hvigorfile.ts", "module.json5",
+    "tsconfig.json", "vite.config.ts", "next.config.js", "pyproject.toml", "requirements.txt", "go.mod", "pom.xml", "build.gradle",
+    "settings.gradle",
+]
+ENTRY_NAMES = [
+    "main.rs", "lib.rs", "index.ts", "index.tsx", "main.ts", "main.js", "App.ets", "EntryAbility.ets", "Index.ets", "CMakeLists.txt", "module.json5",
+    "hvigorfile.ts",
+]
+ENTRY_PATHS = [
+    "entry/src/main/ets/entryability/EntryAbility.ets", "entry/src/main/ets/pages/Index.ets", "entry/src/main/module.json5", "oh-package.json5",
+    "build-profile.json5",
+]
+TEXT_EXTENSIONS = [
+    "md", "txt", "toml", "json", "json5", "yaml", "yml",
+]
 #: Kinds of configuration and entry point by name.
 CONFIG_KINDS = {
     "Cargo.toml": "Cargo", "package.json": "NodePackage", "pubspec.yaml": "Flutter", "oh-package.json5": "OhPackage", "CMakeLists.txt": "CMake", "build-profile.json5": "HarmonyBuild",
