@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusloom.llm.common import pick, small_batches
-from corpusloom.llm.pieces import tidy
+from corpusloom.llm.pieces import KEPT, tidy
 
 NEVER = 1 << 60
 NOTHING: dict[int, bool] = {}
@@ -241,6 +241,9 @@ def load(raw: str) -> Tokenizer:
     return Tokenizer(raw)
 
 
+KEPT[__name__] = load.cache_clear
+
+
 def decode(ids: list[int], raw: str) -> str:
     """The arcs' labels, joined by spaces: the file names no decoder."""
     t = load(raw)

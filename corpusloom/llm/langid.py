@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import column, fold, pick, small_batches
-from corpusloom.llm.pieces import NO_LETTER, give_back, letter_table, mixed, slices, tidy
+from corpusloom.llm.pieces import NO_LETTER, begins, give_back, letter_table, mixed, slices, tidy
 from corpusloom.sources.scratch import staged
 
 SLOTS, HASHES = 1 << 19, 3
@@ -238,6 +238,7 @@ def known_language(docs: DataFrame, least: float, id_col: str = "doc_id", text_c
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        begins(__name__)
         for part in texts:
             lang, score = shared.value.predict(part.fillna("").tolist())
             yield pd.DataFrame({"lang_pred": lang, "score": score})

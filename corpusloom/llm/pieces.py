@@ -84,10 +84,24 @@ def give_back() -> None:
         pass  # another C library
 
 
+#: By module, what frees the tables that its tasks keep in a worker.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def begins(module: str) -> None:
+    """A task of ``module`` begins in this worker: what other modules' tasks kept goes, as workers serve one after another."""
+    for name, free in KEPT.items():
+        if name != module:
+            free()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which the worker gives free memory back: it waits for its next task beside the JVM."""
 
+    module = run.__module__
+
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins(module)
         try:
             yield from run(batches)
         finally:
