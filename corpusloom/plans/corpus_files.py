@@ -38,19 +38,22 @@ def _both(spark, d):
     return f, declared(f)
 
 
+def _places(spark, d):
+    f, s = _both(spark, d)
+    return references.places(f.where("is_source"), staged(s, "document-symbols"))  # read for count, sieve and joins
+
+
 def document_references(spark, d):
     f, s = _both(spark, d)
     return references.references(f.where("is_source"), s).drop("snippet")
 
 
 def document_reference_counts(spark, d):
-    f, s = _both(spark, d)
-    return references.counts(references.references(f.where("is_source"), s))
+    return references.counts(_places(spark, d))
 
 
 def document_reference_lookup(spark, d):
-    f, s = _both(spark, d)
-    refs = references.references(f.where("is_source"), s)
+    refs = _places(spark, d)
     return references.find(refs, "worthless").unionByName(references.find(refs, "something")).groupBy("symbol_name", "kind").agg(F.count("*").alias("n"))
 
 

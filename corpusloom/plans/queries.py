@@ -167,7 +167,7 @@ def public_api(spark, d):
 
 def _mentions(spark, d):
     names = references.identifiers(_bench(spark, d).select(F.col("query_id").alias("path"), "text")).where(F.length("name") >= 10).select("name").distinct()
-    return references.identifiers(_docs(spark, d).select(F.col("doc_id").alias("path"), "text")).join(names, "name", "left_semi")
+    return references.identifiers(_docs(spark, d).select(F.col("doc_id").alias("path"), "text"), lambda rows: rows.join(names, "name", "left_semi"))
 
 
 def mention_refs(spark, d):
