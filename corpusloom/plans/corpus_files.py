@@ -44,8 +44,7 @@ def _places(spark, d):
 
 
 def document_references(spark, d):
-    f, s = _both(spark, d)
-    return references.references(f.where("is_source"), s).drop("snippet")
+    return _places(spark, d)
 
 
 def document_reference_counts(spark, d):

@@ -72,7 +72,7 @@ def test_only_uses_of_symbols_are_shuffled(spark, few, monkeypatch):
     assert size < 1_000_000
 
 
-@pytest.mark.parametrize("name", ["document_reference_counts", "document_reference_lookup"])
+@pytest.mark.parametrize("name", ["document_references", "document_reference_counts", "document_reference_lookup"])
 def test_documents_of_one_path(spark, name, tmp_path):
     """A place of two texts of one path is one place, whatever else is on its line."""
     docs = [(3, "worthless"), (5, "a worthless b"), (5, "c worthless d"), (5, "a worthless b"), (7, "worthless\r\n< worthless (\n")]
